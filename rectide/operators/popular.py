@@ -68,11 +68,14 @@ def recommend_from_ranking(
     k: int,
     block: int = 64,
 ) -> DataFrame:
-    """Top-k of ``ranked`` per user, skipping the user's ``exclusions``.
+    """Top-k of ``ranked`` (item_id, score, grank) per user, skipping the
+    user's ``exclusions``.
 
     ``users``: (user_id); ``exclusions``: (user_id, item_id) (any duplicates).
     Output: (user_id, rank, item_id, score), rank 1-based.
     """
+    if "score" not in ranked.columns:
+        ranked = ranked.withColumn("score", F.lit(None).cast("double"))
     excl = exclusions.select("user_id", "item_id").distinct()
     in_catalog = excl.join(ranked.select("item_id"), "item_id", "left_semi")
     n_excl = in_catalog.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_excl"))

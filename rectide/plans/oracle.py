@@ -228,7 +228,99 @@ FROM (UNPIVOT wide ON "HR@10", "NDCG@10", "Recall@10", "HR@20", "NDCG@20", "Reca
 """)
 
 
+SIDS = """
+sidmap AS (
+  SELECT CAST(p_partkey AS VARCHAR) AS item_id,
+         CAST(DENSE_RANK() OVER (ORDER BY p_type) - 1 AS VARCHAR) || '-' ||
+         CAST(CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) - 1 AS VARCHAR) || '-' ||
+         CAST(p_size % 4 AS VARCHAR) AS sid
+  FROM part
+),
+mev AS (SELECT t.user_id, t.pos, m.sid FROM train t JOIN sidmap m USING (item_id)),
+mnum AS (SELECT *, LAG(sid) OVER (PARTITION BY user_id ORDER BY pos) AS prev_sid FROM mev),
+trans AS (SELECT prev_sid AS src, sid AS dst, CAST(count(*) AS DOUBLE) AS cnt FROM mnum WHERE prev_sid IS NOT NULL GROUP BY 1, 2),
+gcnt AS (SELECT sid, CAST(count(*) AS DOUBLE) AS cnt FROM mev GROUP BY sid),
+hev AS (SELECT h.user_id, h.pos, m.sid FROM seq h JOIN sidmap m USING (item_id) WHERE h.pos <= h.n - 1),
+hx AS (SELECT DISTINCT user_id, sid FROM hev),
+b0 AS (SELECT user_id, CAST([] AS VARCHAR[]) AS path, arg_max(sid, pos) AS cur, 0.0 AS score FROM hev GROUP BY user_id)
+"""
+
+
+def beam_step(i: int, width: int = 5) -> str:
+    p = f"b{i - 1}"
+    return f"""
+c{i} AS (
+  SELECT b.user_id, b.path, b.score, t.dst, t.cnt FROM {p} b JOIN trans t ON t.src = b.cur
+  WHERE NOT list_contains(b.path, t.dst)
+    AND NOT EXISTS (SELECT 1 FROM hx WHERE hx.user_id = b.user_id AND hx.sid = t.dst)
+),
+g{i} AS (
+  SELECT b.user_id, b.path, b.score, g.sid AS dst, g.cnt FROM {p} b JOIN gcnt g ON TRUE
+  WHERE NOT EXISTS (SELECT 1 FROM c{i} c WHERE c.user_id = b.user_id AND c.path = b.path)
+    AND NOT list_contains(b.path, g.sid)
+    AND NOT EXISTS (SELECT 1 FROM hx WHERE hx.user_id = b.user_id AND hx.sid = g.sid)
+),
+e{i} AS (
+  SELECT user_id, list_append(path, dst) AS path, dst AS cur, score + cnt AS score
+  FROM (SELECT * FROM c{i} UNION ALL SELECT * FROM g{i})
+),
+x{i} AS (
+  SELECT user_id, path, cur, score FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, path) AS r FROM e{i}
+  ) WHERE r <= {width}
+),
+b{i} AS (
+  SELECT * FROM x{i}
+  UNION ALL SELECT user_id, path, cur, score FROM {p} WHERE user_id NOT IN (SELECT user_id FROM x{i})
+)"""
+
+
+BEAM = SIDS.strip() + "," + ",".join(beam_step(i).strip() for i in (1, 2, 3)) + """,
+best AS (
+  SELECT user_id, path, score FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, path) AS r FROM b3
+  ) WHERE r = 1
+)
+"""
+
+GEN = """
+gsteps AS (SELECT user_id, unnest(path) AS sid, generate_subscripts(path, 1) AS step FROM best),
+gdec AS (
+  SELECT g.user_id, m.item_id, g.step FROM gsteps g JOIN sidmap m USING (sid)
+  WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = g.user_id AND h.item_id = m.item_id)
+),
+ggen AS (
+  SELECT user_id, item_id, 0 AS src, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY step, item_id) AS r FROM gdec
+),
+gitems AS (
+  SELECT m.item_id, m.sid, ROW_NUMBER() OVER (ORDER BY g.cnt DESC, g.sid, m.item_id) AS irank
+  FROM sidmap m JOIN gcnt g USING (sid)
+),
+gfill AS (
+  SELECT u.user_id, i.item_id, 1 AS src, ROW_NUMBER() OVER (PARTITION BY u.user_id ORDER BY i.irank) AS r
+  FROM users u CROSS JOIN gitems i
+  WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = u.user_id AND h.item_id = i.item_id)
+    AND NOT EXISTS (SELECT 1 FROM gsteps s WHERE s.user_id = u.user_id AND s.sid = i.sid)
+),
+gen_recs AS (
+  SELECT user_id, item_id, src, rank FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY src, r) AS rank
+    FROM (SELECT * FROM ggen WHERE r <= 10 UNION ALL SELECT * FROM gfill WHERE r <= 10)
+  ) WHERE rank <= 10
+)
+"""
+
+
 ORACLE: dict[str, str] = {
+    "sid_transitions": with_(WATCH, SIDS) + "SELECT src, dst, round(cnt, 6) AS cnt FROM trans",
+    "sid_global_counts": with_(WATCH, SIDS) + "SELECT sid, round(cnt, 6) AS cnt FROM gcnt",
+    "sid_decode": with_(WATCH, SIDS) + """
+SELECT sid, item_id, CAST(ROW_NUMBER() OVER (PARTITION BY sid ORDER BY item_id) AS BIGINT) AS item_pos FROM sidmap""",
+    "beam_search": with_(WATCH, BEAM) + """
+SELECT user_id, array_to_string(path, '>') AS path, round(score, 6) AS score FROM best""",
+    "generative_topk": with_(WATCH, BEAM, GEN) + """
+SELECT user_id, CAST(rank AS BIGINT) AS rank, item_id, CASE WHEN src = 0 THEN 'generated' ELSE 'global' END AS source
+FROM gen_recs""",
     "attach_actions": with_(WATCH) + """
 SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(video_id AS VARCHAR) AS video_id, CAST(row_ix AS BIGINT) AS row_ix,
        round(watch_ratio, 6) AS watch_ratio, action, round(action_weight, 6) AS action_weight

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rectide.operators import features, itemcf, metrics, popular
+from rectide.operators import features, generative, itemcf, metrics, popular
 from rectide.plans.prepare import watch_bundle, content_bundle
 from rectide.sources import testdata
 
@@ -158,7 +158,47 @@ def q_popularity_buckets(spark, sf):
     return pb.select("item_id", r6("hot").alias("hot_score"), "bucket")
 
 
+# ---- generative (semantic ids) ----------------------------------------------
+K_GEN = 10
+
+
+def _sid_mapping(spark, sf):
+    return testdata.fixed_semantic_ids(spark, sf)
+
+
+def q_sid_transitions(spark, sf):
+    tr, _ = generative.fit_transitions(watch_bundle(spark, sf).train, _sid_mapping(spark, sf))
+    return tr.select("src", "dst", r6("cnt").alias("cnt"))
+
+
+def q_sid_global_counts(spark, sf):
+    _, gc = generative.fit_transitions(watch_bundle(spark, sf).train, _sid_mapping(spark, sf))
+    return gc.select("sid", r6("cnt").alias("cnt"))
+
+
+def q_sid_decode(spark, sf):
+    d = generative.sid_decoder(_sid_mapping(spark, sf))
+    return d.select("sid", "item_id", _long("item_pos").alias("item_pos"))
+
+
+def q_beam_search(spark, sf):
+    b = watch_bundle(spark, sf)
+    paths, _ = generative.fit_and_generate(b.train, b.histories, _sid_mapping(spark, sf), 5, 3)
+    return paths.select("user_id", F.array_join("path", ">").alias("path"), r6("score").alias("score"))
+
+
+def q_generative_topk(spark, sf):
+    b = watch_bundle(spark, sf)
+    recs = generative.generative_recommendations(b.train, b.histories, _sid_mapping(spark, sf), K_GEN, 5, 3)
+    return recs.select("user_id", _long("rank").alias("rank"), "item_id", "source")
+
+
 REGISTRY: dict[str, Query] = {
+    "sid_transitions": q_sid_transitions,
+    "sid_global_counts": q_sid_global_counts,
+    "sid_decode": q_sid_decode,
+    "beam_search": q_beam_search,
+    "generative_topk": q_generative_topk,
     "attach_actions": q_attach_actions,
     "sequence_positions": q_sequence_positions,
     "time_deltas": q_time_deltas,
