@@ -202,7 +202,8 @@ def training_examples(seq: DataFrame, item_to_index: DataFrame, max_len: int = 6
     """Last ``max_len`` train items (+ aligned actions/log-gaps) -> target.
 
     Target = validation item (else test item); users with no train history or
-    an unknown target are skipped.  Actions/deltas are aligned by position
+    an unknown target are skipped.  ``time_gap`` is the raw delta (the encoder
+    input applies ``log1p``, given as ``log_gap``).  Actions/deltas are aligned by position
     (documented deviation from the single-process builder).
     Output one row per (user, slot) in long form: slot 1..max_len, right padded
     with item 0 / action 0 / gap 0.
@@ -221,9 +222,10 @@ def training_examples(seq: DataFrame, item_to_index: DataFrame, max_len: int = 6
             (F.col("pos") - F.greatest(F.col("n") - 2 - max_len, F.lit(0))).alias("slot"),
             "item_id",
             action_id("action").alias("action_id"),
+            F.coalesce(F.col("delta"), F.lit(0)).cast("double").alias("time_gap"),
             F.log1p(F.coalesce(F.col("delta"), F.lit(0)).cast("double")).alias("log_gap"),
         )
         .join(idx, "item_id", "left")
-        .select("user_id", "slot", F.coalesce("item_index", F.lit(0).cast("long")).alias("item_index"), "action_id", "log_gap")
+        .select("user_id", "slot", F.coalesce("item_index", F.lit(0).cast("long")).alias("item_index"), "action_id", "time_gap", "log_gap")
     )
     return hist.join(tgt, "user_id")

@@ -311,7 +311,186 @@ gen_recs AS (
 """
 
 
+CONTENT = """
+ev AS (
+  SELECT CAST(user_id AS BIGINT) AS user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id,
+         CASE event_type WHEN 'view' THEN 'click' WHEN 'click' THEN 'like' WHEN 'purchase' THEN 'collect' ELSE 'skip' END AS et,
+         ts, value AS dwell_time, event_id
+  FROM events
+),
+pev AS (
+  SELECT *, CAST(CASE et WHEN 'click' THEN 1.0 WHEN 'like' THEN 2.0 WHEN 'collect' THEN 3.0 END AS DOUBLE) AS w
+  FROM ev WHERE et IN ('click', 'like', 'collect')
+),
+cnum AS (
+  SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, w AS event_weight,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, item_id, event_id) AS pos,
+         COUNT(*) OVER (PARTITION BY user_id) AS n
+  FROM pev
+),
+cseq AS (SELECT * FROM cnum WHERE n >= 3),
+cusers AS (SELECT DISTINCT user_id FROM cseq),
+chist AS (SELECT DISTINCT user_id, item_id FROM cseq WHERE pos <= n - 2),
+ctgt AS (SELECT user_id, item_id AS test_item_id FROM cseq WHERE pos = n),
+citems AS (
+  SELECT CAST(p.p_partkey AS VARCHAR) AS item_id, p.p_type AS topic, p.p_brand AS author_id,
+         s.publish_time, CAST(coalesce(s.exposure_count, 0) AS INTEGER) AS exposure_count,
+         round(p.p_retailprice - floor(p.p_retailprice), 2) AS quality_score
+  FROM part p LEFT JOIN (
+    SELECT l_partkey, min(l_shipdate) AS publish_time, count(*) AS exposure_count FROM lineitem GROUP BY l_partkey
+  ) s ON s.l_partkey = p.p_partkey
+),
+ccatalog AS (SELECT item_id FROM citems UNION SELECT item_id FROM cseq)
+"""
+
+CPOP = """
+cp_scores AS (SELECT item_id, CAST(SUM(CAST(event_weight AS DECIMAL(38,6))) AS DOUBLE) AS score FROM cseq GROUP BY item_id),
+crecs AS (
+  SELECT * FROM (
+    SELECT u.user_id, s.item_id, s.score,
+           ROW_NUMBER() OVER (PARTITION BY u.user_id ORDER BY s.score DESC, s.item_id) AS rank
+    FROM cusers u CROSS JOIN cp_scores s
+    WHERE NOT EXISTS (SELECT 1 FROM chist h WHERE h.user_id = u.user_id AND h.item_id = s.item_id)
+  ) WHERE rank <= 10
+)
+"""
+
+CCF = """
+ccf_first AS (SELECT user_id, item_id, min(pos) AS first_pos FROM cseq GROUP BY user_id, item_id),
+ccf_capped AS (
+  SELECT user_id, item_id FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY first_pos DESC) AS r FROM ccf_first
+  ) WHERE r <= 100
+),
+ccf_pop AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS popularity FROM ccf_capped GROUP BY item_id),
+ccf_pairs AS (
+  SELECT a.item_id, b.item_id AS neighbor_id, CAST(count(*) AS DOUBLE) AS sim
+  FROM ccf_capped a JOIN ccf_capped b ON a.user_id = b.user_id AND a.item_id <> b.item_id
+  GROUP BY a.item_id, b.item_id
+),
+ccf_nbrs AS (
+  SELECT * FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbor_id) AS nrank FROM ccf_pairs
+  ) WHERE nrank <= 200
+),
+ccf_scored AS (
+  SELECT h.user_id, nb.neighbor_id AS item_id, sum(nb.sim) AS score
+  FROM chist h JOIN ccf_nbrs nb ON h.item_id = nb.item_id
+  WHERE NOT EXISTS (SELECT 1 FROM chist h2 WHERE h2.user_id = h.user_id AND h2.item_id = nb.neighbor_id)
+  GROUP BY h.user_id, nb.neighbor_id
+),
+ccf_fill AS (
+  SELECT u.user_id, p.item_id, p.popularity AS score
+  FROM cusers u CROSS JOIN ccf_pop p
+  WHERE u.user_id NOT IN (SELECT user_id FROM ccf_scored)
+    AND NOT EXISTS (SELECT 1 FROM chist h WHERE h.user_id = u.user_id AND h.item_id = p.item_id)
+),
+crecs AS (
+  SELECT * FROM (
+    SELECT user_id, item_id, score, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
+    FROM (SELECT * FROM ccf_scored UNION ALL SELECT * FROM ccf_fill)
+  ) WHERE rank <= 10
+)
+"""
+
+CMETRICS = """
+chit AS (
+  SELECT t.user_id, min(r.rank) AS hit_rank FROM ctgt t LEFT JOIN crecs r ON r.user_id = t.user_id AND r.item_id = t.test_item_id
+  GROUP BY t.user_id
+),
+cdiv AS (
+  SELECT r.user_id, CAST(count(DISTINCT ci.topic) AS DOUBLE) / count(*) AS d
+  FROM crecs r LEFT JOIN citems ci USING (item_id) GROUP BY r.user_id
+),
+cwide AS (
+  SELECT
+    (SELECT avg(CASE WHEN hit_rank <= 5 THEN 1.0 ELSE 0.0 END) FROM chit) AS "Recall@5",
+    (SELECT avg(CASE WHEN hit_rank <= 5 THEN 1.0 / log2(hit_rank + 1.0) ELSE 0.0 END) FROM chit) AS "NDCG@5",
+    (SELECT avg(CASE WHEN hit_rank <= 10 THEN 1.0 ELSE 0.0 END) FROM chit) AS "Recall@10",
+    (SELECT avg(CASE WHEN hit_rank <= 10 THEN 1.0 / log2(hit_rank + 1.0) ELSE 0.0 END) FROM chit) AS "NDCG@10",
+    (SELECT CAST(count(DISTINCT item_id) AS DOUBLE) FROM crecs WHERE item_id IN (SELECT item_id FROM ccatalog))
+      / (SELECT count(*) FROM ccatalog) AS "Coverage",
+    (SELECT coalesce(avg(d), 0.0) FROM cdiv) AS "Diversity"
+),
+cmetrics AS (
+  SELECT metric, round(CAST(value AS DOUBLE), 6) AS value
+  FROM (UNPIVOT cwide ON "Recall@5", "NDCG@5", "Recall@10", "NDCG@10", "Coverage", "Diversity" INTO NAME metric VALUE value)
+)
+"""
+
+VEC = """
+vec AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, embedding FROM embeddings),
+vexp AS (SELECT item_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS d FROM vec),
+vnorm AS (SELECT item_id, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM vexp GROUP BY item_id)
+"""
+
+
+def cosine_scores(qexp: str) -> str:
+    """Cosine of query vectors ``{qexp}(user_id, d, q)`` against every item vector."""
+    return f"""
+qn AS (SELECT user_id, greatest(sqrt(sum(q * q)), 1e-12) AS qnrm FROM {qexp} GROUP BY user_id),
+dots AS (SELECT q.user_id, v.item_id, sum(q.q * v.x) AS dot FROM {qexp} q JOIN vexp v USING (d) GROUP BY q.user_id, v.item_id),
+cos AS (
+  SELECT d.user_id, d.item_id, d.dot / (qn.qnrm * vn.nrm) AS score
+  FROM dots d JOIN qn USING (user_id) JOIN vnorm vn USING (item_id)
+)"""
+
+
 ORACLE: dict[str, str] = {
+    "content_sequences": with_(CONTENT) + """
+SELECT user_id, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS n, item_id, round(event_weight, 6) AS event_weight FROM cseq""",
+    "ranking_metrics": with_(CONTENT, CPOP, CMETRICS) + "SELECT metric, value FROM cmetrics",
+    "coverage_diversity": with_(CONTENT, CCF, CMETRICS) + "SELECT metric, value FROM cmetrics WHERE metric IN ('Coverage', 'Diversity')",
+    "content_itemcf_topk": with_(CONTENT, CCF) + "SELECT user_id, CAST(rank AS BIGINT) AS rank, item_id, round(score, 6) AS score FROM crecs",
+    "cosine_topk": with_(VEC, "vq AS (SELECT item_id AS user_id, d, x AS q FROM vexp)", cosine_scores("vq")) + """
+SELECT user_id AS item_id, CAST(rank AS BIGINT) AS rank, item_id AS neighbor_id, round(score, 6) AS score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cos
+) WHERE rank <= 10""",
+    "mean_query_topk": with_(CONTENT, VEC, """
+vh AS (SELECT user_id, item_id FROM cseq WHERE pos <= n - 1),
+vq AS (SELECT h.user_id, v.d, avg(v.x) AS q FROM vh h JOIN vexp v USING (item_id) GROUP BY h.user_id, v.d)""", cosine_scores("vq")) + """
+SELECT user_id, CAST(rank AS BIGINT) AS rank, item_id, round(score, 6) AS score FROM (
+  SELECT c.*, ROW_NUMBER() OVER (PARTITION BY c.user_id ORDER BY c.score DESC, c.item_id) AS rank FROM cos c
+  WHERE NOT EXISTS (SELECT 1 FROM vh h WHERE h.user_id = c.user_id AND h.item_id = c.item_id)
+) WHERE rank <= 10""",
+    "contrastive_loss": with_(CONTENT, VEC, """
+uq AS (
+  SELECT s.user_id, v.d, avg(v.x) AS q FROM cseq s JOIN vexp v USING (item_id) WHERE s.pos <= s.n - 2 GROUP BY s.user_id, v.d
+),
+tv AS (SELECT s.user_id, v.d, v.x FROM cseq s JOIN vexp v USING (item_id) WHERE s.pos = s.n - 1),
+pu AS (
+  SELECT user_id, (ROW_NUMBER() OVER (ORDER BY user_id) - 1) // 32 AS batch_id
+  FROM (SELECT DISTINCT user_id FROM uq WHERE user_id IN (SELECT user_id FROM tv))
+),
+logits AS (
+  SELECT a.user_id AS i, b.user_id AS j, sum(q.q * t.x) / 0.07 AS z
+  FROM pu a JOIN pu b ON a.batch_id = b.batch_id
+  JOIN uq q ON q.user_id = a.user_id JOIN tv t ON t.user_id = b.user_id AND t.d = q.d
+  GROUP BY a.user_id, b.user_id
+),
+per_row AS (
+  SELECT i, max(z) AS m, max(CASE WHEN i = j THEN z END) AS pz FROM logits GROUP BY i
+),
+lse AS (
+  SELECT p.i, p.m + ln(sum(exp(l.z - p.m))) - p.pz AS row_loss FROM per_row p JOIN logits l ON l.i = p.i GROUP BY p.i, p.m, p.pz
+)""") + "SELECT round(avg(row_loss), 6) AS loss FROM lse",
+    "training_examples": with_(WATCH, """
+idx AS (
+  SELECT item_id, ROW_NUMBER() OVER (ORDER BY CAST(item_id AS DECIMAL(38,0))) AS item_index
+  FROM (SELECT CAST(p_partkey AS VARCHAR) AS item_id FROM part UNION SELECT item_id FROM seq)
+),
+ttgt AS (SELECT s.user_id, i.item_index AS target_index FROM seq s JOIN idx i USING (item_id) WHERE s.pos = s.n - 1)""") + """
+SELECT s.user_id, CAST(s.pos - GREATEST(s.n - 2 - 64, 0) AS BIGINT) AS slot, CAST(coalesce(i.item_index, 0) AS BIGINT) AS item_index,
+       CAST(CASE s.action WHEN 'short_view' THEN 1 WHEN 'valid_view' THEN 2 WHEN 'complete_view' THEN 3 WHEN 'high_interest' THEN 4 ELSE 0 END AS BIGINT) AS action_id,
+       round(CAST(s.delta AS DOUBLE), 6) AS time_gap, CAST(t.target_index AS BIGINT) AS target_index
+FROM seq s LEFT JOIN idx i USING (item_id) JOIN ttgt t USING (user_id)
+WHERE s.pos <= s.n - 2 AND s.pos > s.n - 2 - 64""",
+    "freshness_longtail": with_(WATCH, POP.replace("rank <= 20", "rank <= 30"), CONTENT) + """
+SELECT r.user_id, r.item_id, CAST(r.rank AS BIGINT) AS rank,
+       round(1.0 / r.rank + CASE WHEN coalesce(ci.publish_time >= TIMESTAMP '1998-07-25 00:00:00', false) THEN 0.15 ELSE 0.0 END, 6) AS adjusted_score,
+       coalesce(ci.publish_time >= TIMESTAMP '1998-07-25 00:00:00', false) AS is_fresh,
+       (ci.exposure_count <= 25 AND ci.quality_score >= 0.85) AS is_long_tail
+FROM pop_recs r JOIN citems ci USING (item_id)""",
     "sid_transitions": with_(WATCH, SIDS) + "SELECT src, dst, round(cnt, 6) AS cnt FROM trans",
     "sid_global_counts": with_(WATCH, SIDS) + "SELECT sid, round(cnt, 6) AS cnt FROM gcnt",
     "sid_decode": with_(WATCH, SIDS) + """
@@ -357,4 +536,73 @@ FROM (SELECT CAST(user_id AS VARCHAR) AS user_id FROM wm UNION SELECT CAST(c_cus
 LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS cnt FROM wm GROUP BY 1) c USING (user_id)
 LEFT JOIN customer p ON CAST(p.c_custkey AS VARCHAR) = u.user_id""",
     "popularity_buckets": with_(ITEMS) + "SELECT item_id, round(hot_score, 6) AS hot_score, bucket FROM pbucket",
+    "collision_purity": with_(WATCH, SIDS, """
+sm AS (SELECT m.item_id, m.sid, p.p_type AS topic FROM sidmap m JOIN part p ON CAST(p.p_partkey AS VARCHAR) = m.item_id),
+dom AS (SELECT sid, max(c) AS top FROM (SELECT sid, topic, count(*) AS c FROM sm GROUP BY sid, topic) GROUP BY sid)""") + """
+SELECT round(CAST((SELECT count(*) FROM sm) AS DOUBLE), 6) AS item_count,
+       round(CAST((SELECT count(*) FROM dom) AS DOUBLE), 6) AS semantic_id_unique,
+       round(1.0 - CAST((SELECT count(*) FROM dom) AS DOUBLE) / (SELECT count(*) FROM sm), 6) AS collision_rate,
+       round(CAST((SELECT sum(top) FROM dom) AS DOUBLE) / (SELECT count(*) FROM sm), 6) AS topic_purity""",
+    "bucket_collision": with_(WATCH, SIDS, ITEMS, """
+bm AS (SELECT m.sid, coalesce(f.hot_score, 0.0) AS hot FROM sidmap m LEFT JOIN feat f USING (item_id)),
+bq AS (SELECT quantile_cont(hot, 0.66) AS hi, quantile_cont(hot, 0.33) AS lo FROM bm),
+bb AS (
+  SELECT sid, hot >= hi AS is_head, hot < hi AND hot > lo AS is_middle, hot <= lo AS is_tail FROM bm, bq
+)""") + """
+SELECT
+  round(CASE WHEN count(*) FILTER (WHERE is_head) > 0 THEN 1.0 - CAST(count(DISTINCT sid) FILTER (WHERE is_head) AS DOUBLE) / count(*) FILTER (WHERE is_head) ELSE 0.0 END, 6) AS collision_rate_head,
+  round(CASE WHEN count(*) FILTER (WHERE is_middle) > 0 THEN 1.0 - CAST(count(DISTINCT sid) FILTER (WHERE is_middle) AS DOUBLE) / count(*) FILTER (WHERE is_middle) ELSE 0.0 END, 6) AS collision_rate_middle,
+  round(CASE WHEN count(*) FILTER (WHERE is_tail) > 0 THEN 1.0 - CAST(count(DISTINCT sid) FILTER (WHERE is_tail) AS DOUBLE) / count(*) FILTER (WHERE is_tail) ELSE 0.0 END, 6) AS collision_rate_tail
+FROM bb""",
+    "protocol_violations": with_(WATCH, """
+cstat AS (SELECT count(*) AS nrows, count(DISTINCT item_id) AS ndist FROM cands),
+useq AS (SELECT user_id, max(n) AS n FROM seq GROUP BY user_id),
+checks AS (
+  SELECT 'manifest.schema_version' AS rule, 0 AS violations
+  UNION ALL SELECT 'manifest.protocol_name', 0
+  UNION ALL SELECT 'manifest.ranking_mode', 0
+  UNION ALL SELECT 'manifest.empty_universe', (SELECT CASE WHEN nrows = 0 THEN 1 ELSE 0 END FROM cstat)
+  UNION ALL SELECT 'manifest.duplicate_ids', (SELECT CASE WHEN nrows <> ndist THEN 1 ELSE 0 END FROM cstat)
+  UNION ALL SELECT 'manifest.count_mismatch', 0
+  UNION ALL SELECT 'manifest.fit_history_field', 0
+  UNION ALL SELECT 'manifest.history_field', 0
+  UNION ALL SELECT 'manifest.target_field', 0
+  UNION ALL SELECT 'sequence.missing_user_id', (SELECT count(*) FROM useq WHERE coalesce(user_id, '') = '')
+  UNION ALL SELECT 'sequence.incomplete_split', (SELECT count(*) FROM useq WHERE n < 2)
+  UNION ALL SELECT 'sequence.train_history_leak', 0
+  UNION ALL SELECT 'sequence.validation_not_penultimate', 0
+  UNION ALL SELECT 'sequence.test_history_mismatch', 0
+  UNION ALL SELECT 'sequence.test_not_last', 0
+  UNION ALL SELECT 'sequence.duplicate_user', 0
+  UNION ALL SELECT 'sequence.unreachable_target', (SELECT count(*) FROM tgt WHERE test_item_id NOT IN (SELECT item_id FROM cands))
+)""") + "SELECT rule, CAST(violations AS BIGINT) AS violations FROM checks",
+    "recommendation_violations": with_(WATCH, POP, """
+nc AS (SELECT count(DISTINCT item_id) AS nc FROM cands),
+nh AS (SELECT h.user_id, count(*) AS nh FROM hist h WHERE h.item_id IN (SELECT item_id FROM cands) GROUP BY h.user_id),
+got AS (SELECT user_id, count(*) AS got FROM pop_recs GROUP BY user_id),
+checks AS (
+  SELECT 'recs.missing_user' AS rule, (SELECT count(*) FROM users WHERE user_id NOT IN (SELECT user_id FROM pop_recs)) AS violations
+  UNION ALL SELECT 'recs.extra_user', (SELECT count(DISTINCT user_id) FROM pop_recs WHERE user_id NOT IN (SELECT user_id FROM users))
+  UNION ALL SELECT 'recs.duplicate_item', (SELECT count(*) FROM (SELECT user_id, item_id FROM pop_recs GROUP BY 1, 2 HAVING count(*) > 1))
+  UNION ALL SELECT 'recs.outside_candidates', (SELECT count(*) FROM pop_recs WHERE item_id NOT IN (SELECT item_id FROM cands))
+  UNION ALL SELECT 'recs.history_leak', (SELECT count(*) FROM pop_recs r JOIN hist h USING (user_id, item_id))
+  UNION ALL SELECT 'recs.count_mismatch', (
+    SELECT count(*) FROM users u LEFT JOIN nh USING (user_id) LEFT JOIN got USING (user_id), nc
+    WHERE coalesce(got, 0) <> LEAST(20, nc - coalesce(nh, 0)))
+)""") + "SELECT rule, CAST(violations AS BIGINT) AS violations FROM checks",
+    "data_violations": with_(CONTENT, """
+iv AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, et, ts, dwell_time FROM ev),
+cu AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id FROM customer),
+checks AS (
+  SELECT 'items.duplicate_item_id' AS rule, (SELECT count(*) FROM (SELECT item_id FROM citems GROUP BY item_id HAVING count(*) > 1)) AS violations
+  UNION ALL SELECT 'items.invalid_publish_time', 0
+  UNION ALL SELECT 'items.invalid_quality_score', 0
+  UNION ALL SELECT 'users.duplicate_user_id', (SELECT count(*) FROM (SELECT user_id FROM cu GROUP BY user_id HAVING count(*) > 1))
+  UNION ALL SELECT 'interactions.invalid_event_type', (SELECT count(DISTINCT et) FROM iv WHERE et IS NOT NULL AND et NOT IN ('click', 'like', 'collect', 'skip'))
+  UNION ALL SELECT 'interactions.invalid_event_time', 0
+  UNION ALL SELECT 'interactions.invalid_dwell_time', 0
+  UNION ALL SELECT 'interactions.negative_dwell_time', (SELECT count(*) FROM iv WHERE dwell_time < 0)
+  UNION ALL SELECT 'interactions.unknown_item', (SELECT count(*) FROM (SELECT DISTINCT item_id FROM iv) WHERE item_id NOT IN (SELECT item_id FROM citems))
+  UNION ALL SELECT 'interactions.unknown_user', (SELECT count(*) FROM (SELECT DISTINCT user_id FROM iv) WHERE user_id NOT IN (SELECT user_id FROM cu))
+)""") + "SELECT rule, CAST(violations AS BIGINT) AS violations FROM checks",
 }

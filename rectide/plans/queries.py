@@ -13,7 +13,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rectide.operators import features, generative, itemcf, metrics, popular
+from rectide.operators import (
+    features,
+    generative,
+    itemcf,
+    metrics,
+    popular,
+    protocol,
+    quality,
+    rerank,
+    semantic_id,
+    sequences,
+    vector,
+)
+from rectide.operators.ordering import global_rank
 from rectide.plans.prepare import watch_bundle, content_bundle
 from rectide.sources import testdata
 
@@ -193,7 +206,209 @@ def q_generative_topk(spark, sf):
     return recs.select("user_id", _long("rank").alias("rank"), "item_id", "source")
 
 
+# ---- content path (historical baseline) -------------------------------------
+K_CONTENT = (5, 10)
+
+
+def q_content_sequences(spark, sf):
+    seq = content_bundle(spark, sf).seq
+    return seq.select("user_id", _long("pos").alias("pos"), _long("n").alias("n"), "item_id", r6("event_weight").alias("event_weight"))
+
+
+def _content_catalog_topics(spark, sf):
+    items = testdata.content_items(spark, sf)
+    b = content_bundle(spark, sf)
+    catalog = items.select("item_id").unionByName(b.seq.select("item_id")).distinct()
+    return catalog, items.select("item_id", "topic")
+
+
+def _content_popular(spark, sf):
+    b = content_bundle(spark, sf)
+    ranked = popular.rank_catalog(popular.popularity_from_sequences(b.train), None)
+    return popular.recommend_from_ranking(ranked, b.targets.select("user_id"), b.histories, max(K_CONTENT))
+
+
+def _content_itemcf(spark, sf):
+    b = content_bundle(spark, sf)
+    nbrs, pop = itemcf.fit_itemcf(b.train, 100, 200)
+    return itemcf.itemcf_recommendations(nbrs, pop, b.histories, None, max(K_CONTENT))
+
+
+def _content_metrics(spark, sf, recs):
+    b = content_bundle(spark, sf)
+    catalog, topics = _content_catalog_topics(spark, sf)
+    return metrics.ranking_metrics(recs, b.targets, catalog, topics, K_CONTENT)
+
+
+def q_ranking_metrics(spark, sf):
+    return _content_metrics(spark, sf, _content_popular(spark, sf)).select("metric", r6("value").alias("value"))
+
+
+def q_coverage_diversity(spark, sf):
+    out = _content_metrics(spark, sf, _content_itemcf(spark, sf))
+    return out.where(F.col("metric").isin("Coverage", "Diversity")).select("metric", r6("value").alias("value"))
+
+
+def q_content_itemcf_topk(spark, sf):
+    return _content_itemcf(spark, sf).select("user_id", _long("rank").alias("rank"), "item_id", r6("score").alias("score"))
+
+
+# ---- vectors ------------------------------------------------------------------
+
+def _vector_histories(spark, sf):
+    return sequences.test_histories(content_bundle(spark, sf).seq)
+
+
+def q_cosine_topk(spark, sf):
+    nb = vector.item_neighbors(testdata.item_vectors(spark, sf), 10)
+    return nb.select("item_id", _long("rank").alias("rank"), "neighbor_id", r6("score").alias("score"))
+
+
+def q_mean_query_topk(spark, sf):
+    recs = vector.vector_recommendations(_vector_histories(spark, sf), testdata.item_vectors(spark, sf), None, 10)
+    return recs.select("user_id", _long("rank").alias("rank"), "item_id", r6("score").alias("score"))
+
+
+def q_contrastive_loss(spark, sf):
+    """A29 on (mean train-history vector, validation-item vector) pairs in
+    batches of 32 users (user id order)."""
+    seq = content_bundle(spark, sf).seq
+    vecs = testdata.item_vectors(spark, sf)
+    uvec = vector.mean_vectors(sequences.train_histories(seq), vecs)
+    tgt = seq.where(F.col("pos") == F.col("n") - 1).select("user_id", "item_id").join(vecs.select("item_id", "vector"), "item_id")
+    pairs = uvec.join(tgt, "user_id")
+    ranked = global_rank(pairs, [F.col("user_id").asc()], "urank")
+    batched = ranked.select(
+        F.floor((F.col("urank") - 1) / 32).alias("batch_id"), F.col("urank").alias("row_id"),
+        F.col("qvec").alias("user_vec"), F.col("vector").alias("item_vec"),
+    )
+    return metrics.info_nce_loss(batched, 0.07).select(r6("loss").alias("loss"))
+
+
+def q_training_examples(spark, sf):
+    b = watch_bundle(spark, sf)
+    parts = testdata.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("item_id"))
+    idx = sequences.item_index(b.seq, parts)
+    ex = sequences.training_examples(b.seq, idx, 64)
+    return ex.select("user_id", _long("slot").alias("slot"), _long("item_index").alias("item_index"),
+                     _long("action_id").alias("action_id"), r6("time_gap").alias("time_gap"), _long("target_index").alias("target_index"))
+
+
+# ---- rerank -------------------------------------------------------------------
+NOW = "1998-08-01"
+
+
+def _enriched(spark, sf):
+    b = watch_bundle(spark, sf)
+    ranked = popular.rank_catalog(_pop_scores(b), b.candidates)
+    recs = popular.recommend_from_ranking(ranked, b.targets.select("user_id"), b.histories, 30)
+    cands = rerank.reciprocal_rank_candidates(recs)
+    return rerank.enrich_candidates(cands, testdata.content_items(spark, sf), NOW, long_tail_exposure_threshold=25, long_tail_quality_threshold=0.85)
+
+
+def q_freshness_longtail(spark, sf):
+    e = _enriched(spark, sf)
+    return e.select("user_id", "item_id", _long("rank").alias("rank"), r6("adjusted_score").alias("adjusted_score"),
+                    "is_fresh", "is_long_tail")
+
+
+def q_rerank(spark, sf):
+    out = rerank.diversity_rerank(_enriched(spark, sf), 10, 2, 1)
+    return out.select("user_id", _long("rerank_pos").alias("rerank_pos"), "item_id", r6("adjusted_score").alias("adjusted_score"), "source_reason")
+
+
+# ---- semantic id quality ------------------------------------------------------
+
+def q_collision_purity(spark, sf):
+    cp = metrics.collision_purity(_sid_mapping(spark, sf))
+    return cp.select(*[r6(c).alias(c) for c in cp.columns])
+
+
+def q_bucket_collision(spark, sf):
+    bc = metrics.bucket_collision(_sid_mapping(spark, sf), _items(spark, sf))
+    return bc.select(*[r6(c).alias(c) for c in bc.columns])
+
+
+def q_semantic_ids_kmeans(spark, sf):
+    m = semantic_id.kmeans_semantic_ids(testdata.text_items(spark, sf))
+    return m.select("item_id", "topic", "semantic_id_str")
+
+
+def q_semantic_ids_residual(spark, sf):
+    m = semantic_id.residual_semantic_ids(testdata.text_items(spark, sf))
+    return m.select("item_id", "topic", "semantic_id_str", "tokenizer_method")
+
+
+def q_word2vec_items(spark, sf):
+    emb = semantic_id.item_embeddings(watch_bundle(spark, sf).train, vector_size=32)
+    return emb.select("item_id", F.size("vector").cast("long").alias("dim"))
+
+
+def q_lsh_topk(spark, sf):
+    nb = vector.lsh_neighbors(testdata.item_vectors(spark, sf), 10)
+    return nb.select("item_id", _long("rank").alias("rank"), "neighbor_id", r6("score").alias("score"))
+
+
+# ---- protocol and validation --------------------------------------------------
+
+def q_protocol_violations(spark, sf):
+    b = watch_bundle(spark, sf)
+    rows = sequences.sequence_rows(b.seq)
+    manifest = protocol.build_manifest(spark, b.candidates, "sf")
+    out = protocol.manifest_violations(manifest, b.candidates).unionByName(protocol.sequence_violations(rows, b.candidates))
+    return out.select("rule", _long("violations").alias("violations"))
+
+
+def q_recommendation_violations(spark, sf):
+    b = watch_bundle(spark, sf)
+    out = protocol.recommendation_violations(_pop_recs(spark, sf), b.targets.select("user_id"), b.histories, b.candidates, K_EVAL)
+    return out.select("rule", _long("violations").alias("violations"))
+
+
+def q_data_violations(spark, sf):
+    items = testdata.content_items(spark, sf)
+    inter = testdata.content_interactions(spark, sf).withColumn("item_id", F.col("item_id").cast("string")).withColumn("user_id", F.col("user_id").cast("string"))
+    users = testdata.user_profiles(spark, sf).withColumn("user_id", F.col("user_id").cast("string"))
+    v = quality.union_violations([
+        quality.validate_items(items),
+        quality.validate_users(users),
+        quality.validate_interactions(inter),
+        quality.referential_violations(inter, items, users),
+    ])
+    counts = v.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+    rules = spark.createDataFrame([(r,) for r in DATA_RULES], "rule string")
+    return rules.join(counts, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
+
+
+# The data-contract rules reported by ``data_violations``.
+DATA_RULES = [
+    "items.duplicate_item_id", "items.invalid_publish_time", "items.invalid_quality_score",
+    "users.duplicate_user_id", "interactions.invalid_event_type", "interactions.invalid_event_time",
+    "interactions.invalid_dwell_time", "interactions.negative_dwell_time",
+    "interactions.unknown_item", "interactions.unknown_user",
+]
+
+
 REGISTRY: dict[str, Query] = {
+    "content_sequences": q_content_sequences,
+    "ranking_metrics": q_ranking_metrics,
+    "coverage_diversity": q_coverage_diversity,
+    "content_itemcf_topk": q_content_itemcf_topk,
+    "cosine_topk": q_cosine_topk,
+    "mean_query_topk": q_mean_query_topk,
+    "contrastive_loss": q_contrastive_loss,
+    "training_examples": q_training_examples,
+    "freshness_longtail": q_freshness_longtail,
+    "rerank": q_rerank,
+    "collision_purity": q_collision_purity,
+    "bucket_collision": q_bucket_collision,
+    "semantic_ids_kmeans": q_semantic_ids_kmeans,
+    "semantic_ids_residual": q_semantic_ids_residual,
+    "word2vec_items": q_word2vec_items,
+    "lsh_topk": q_lsh_topk,
+    "protocol_violations": q_protocol_violations,
+    "recommendation_violations": q_recommendation_violations,
+    "data_violations": q_data_violations,
     "sid_transitions": q_sid_transitions,
     "sid_global_counts": q_sid_global_counts,
     "sid_decode": q_sid_decode,
