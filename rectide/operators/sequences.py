@@ -100,7 +100,7 @@ def train_only_view(seq: DataFrame) -> DataFrame:
     )
 
 
-def test_histories(seq: DataFrame) -> DataFrame:
+def evaluation_histories(seq: DataFrame) -> DataFrame:
     """(user_id, item_id) rows of items[:-1] (duplicates kept)."""
     return seq.where(F.col("pos") <= F.col("n") - 1).select("user_id", "pos", "item_id")
 

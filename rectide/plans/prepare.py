@@ -18,7 +18,7 @@ from rectide.operators.sequences import (
     build_content_sequences,
     build_watch_sequences,
     targets,
-    test_histories,
+    evaluation_histories,
     train_histories,
     train_only_view,
 )
@@ -52,7 +52,7 @@ def watch_bundle(spark: SparkSession, sf_dir: str, min_history: int = 3) -> Bund
             log=log,
             seq=seq,
             train=train_only_view(seq),
-            histories=test_histories(seq),
+            histories=evaluation_histories(seq),
             targets=targets(seq),
             candidates=candidate_universe(log, "video_id"),
         )

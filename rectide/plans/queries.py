@@ -256,7 +256,7 @@ def q_content_itemcf_topk(spark, sf):
 # ---- vectors ------------------------------------------------------------------
 
 def _vector_histories(spark, sf):
-    return sequences.test_histories(content_bundle(spark, sf).seq)
+    return sequences.evaluation_histories(content_bundle(spark, sf).seq)
 
 
 def q_cosine_topk(spark, sf):
