@@ -22,6 +22,7 @@ from rectide.operators.sequences import (
     train_histories,
     train_only_view,
 )
+from rectide.session import cut_lineage
 from rectide.sources import testdata
 
 
@@ -47,7 +48,8 @@ def watch_bundle(spark: SparkSession, sf_dir: str, min_history: int = 3) -> Bund
     if key not in _CACHE:
         raw = normalize_matrix_columns(testdata.watch_matrix(spark, sf_dir), row_ix="row_ix")
         log = attach_actions(raw)
-        seq = build_watch_sequences(log, min_history=min_history)
+        # every evaluation reads the sequence table several times: write it once
+        seq = cut_lineage(build_watch_sequences(log, min_history=min_history))
         _CACHE[key] = Bundle(
             log=log,
             seq=seq,
@@ -64,7 +66,7 @@ def content_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
     key = _key(spark, "content", sf_dir)
     if key not in _CACHE:
         log = testdata.content_interactions(spark, sf_dir)
-        seq = build_content_sequences(log)
+        seq = cut_lineage(build_content_sequences(log))
         _CACHE[key] = Bundle(
             log=log,
             seq=seq,
@@ -83,3 +85,21 @@ def catalog_with_sequence_items(items: DataFrame, seq: DataFrame) -> DataFrame:
         .unionByName(seq.select("item_id"))
         .distinct()
     )
+
+
+def watch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item feature table of the watch path (categories, captions, daily
+    stats), materialised once per session and data dir."""
+    from rectide.operators.features import build_item_features
+
+    key = _key(spark, "items", sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = cut_lineage(
+            build_item_features(
+                testdata.item_categories(spark, sf_dir),
+                testdata.item_captions(spark, sf_dir),
+                testdata.item_daily(spark, sf_dir),
+                order_col="date",
+            )
+        )
+    return _CACHE[key]

@@ -27,7 +27,7 @@ from rectide.operators import (
     vector,
 )
 from rectide.operators.ordering import global_rank
-from rectide.plans.prepare import watch_bundle, content_bundle
+from rectide.plans.prepare import content_bundle, watch_bundle, watch_items
 from rectide.sources import testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,9 +109,7 @@ def q_popular_topk(spark, sf):
 
 
 def _items(spark, sf):
-    return features.build_item_features(
-        testdata.item_categories(spark, sf), testdata.item_captions(spark, sf), testdata.item_daily(spark, sf), order_col="date"
-    )
+    return watch_items(spark, sf)
 
 
 def _segmented(spark, sf, recs):
