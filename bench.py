@@ -25,16 +25,19 @@ from rectide.session import build_session  # noqa: E402
 
 HEADLINE = [
     "sequence_positions",
+    "time_deltas",
     "popular_topk",
     "eval_popular",
     "itemcf_neighbors",
     "itemcf_topk",
-    "eval_itemcf",
     "item_features",
+    "user_features",
     "beam_search",
     "generative_topk",
+    "cosine_topk",
     "mean_query_topk",
     "ranking_metrics",
+    "freshness_longtail",
     "rerank",
 ]
 

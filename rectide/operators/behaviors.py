@@ -59,3 +59,20 @@ def positive_events(interactions: DataFrame) -> DataFrame:
 def min_action_weight_filter(frame: DataFrame, minimum: float = 0.0) -> DataFrame:
     """Keep rows whose numeric action_weight >= minimum (non-numeric dropped)."""
     return frame.where(F.col("action_weight").try_cast("double") >= F.lit(float(minimum)))
+
+
+def sample_first_users(frame: DataFrame, max_users: int, order_col: str = "row_ix") -> DataFrame:
+    """Keep the first ``max_users`` distinct users in appearance order
+    (a sampling operator: the limit is the feature)."""
+    if max_users <= 0:
+        return frame
+    first = frame.groupBy("user_id").agg(F.min(order_col).alias("_first"))
+    keep = first.orderBy("_first").limit(max_users).select("user_id")
+    return frame.join(keep, "user_id", "left_semi")
+
+
+def sample_first_rows(frame: DataFrame, max_rows: int, order_col: str = "row_ix") -> DataFrame:
+    """Keep the first ``max_rows`` rows in ingest order."""
+    if max_rows <= 0:
+        return frame
+    return frame.orderBy(order_col).limit(max_rows)

@@ -112,13 +112,15 @@ def prefix_join(
     need_col: str = "need",
     rank_col: str = "grank",
     block: int = 64,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of ``ranked`` with ``rank <= need`` for every row of ``needs``.
 
     Equivalent to the theta join ``needs JOIN ranked ON rank <= need`` but runs
     as an equi-join on rank blocks: each needs-row is replicated once per block
     it reaches, so output is linear in sum(need) and the hot block 0 is a plain
-    skewed equi-join key that AQE can split.
+    skewed equi-join key that AQE can split.  ``keys`` are extra equi-join
+    columns (a ranking per key, e.g. per source id).
     """
     last_block = F.floor((F.col(need_col) - 1) / F.lit(block)).cast("int")
     expanded = needs.select(
@@ -133,7 +135,7 @@ def prefix_join(
         "_rt_blk", F.floor((F.col(rank_col) - 1) / F.lit(block)).cast("int")
     )
     return (
-        expanded.join(blocked, "_rt_blk")
+        expanded.join(blocked, [*keys, "_rt_blk"])
         .where(F.col(rank_col) <= F.col(need_col))
         .drop("_rt_blk")
     )

@@ -118,6 +118,11 @@ def sequence_violations(rows: DataFrame, candidates: DataFrame) -> DataFrame:
         "sequence.test_history_mismatch": (n >= 2) & (cast_arr("test_history_item_ids") != head(1)),
         "sequence.test_not_last": (n >= 2) & (test != F.element_at(items, -1)),
     }
+    # Aligned list fields must cover the train history
+    train_len = F.size(cast_arr("train_history_item_ids"))
+    for field in ("actions", "action_weights", "event_weights", "timestamps", "time_deltas"):
+        if field in rows.columns:
+            checks[f"sequence.short_{field}"] = F.col(field).isNotNull() & (F.size(field) < train_len)
     per_rule = [_flag_count(rows, r, c) for r, c in checks.items()]
     dups = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     per_rule.append(_count(dups, "sequence.duplicate_user"))

@@ -229,3 +229,21 @@ def training_examples(seq: DataFrame, item_to_index: DataFrame, max_len: int = 6
         .select("user_id", "slot", F.coalesce("item_index", F.lit(0).cast("long")).alias("item_index"), "action_id", "time_gap", "log_gap")
     )
     return hist.join(tgt, "user_id")
+
+
+def padded_examples(examples: DataFrame, max_len: int = 64) -> DataFrame:
+    """One row per user with right-padded arrays of length ``max_len``
+    (items/actions 0, gaps 0.0).  Each array holds at most ``max_len`` slots by
+    construction of ``training_examples``."""
+    slots = F.array_sort(F.collect_list(F.struct("slot", "item_index", "action_id", "time_gap")))
+    per_user = examples.groupBy("user_id", "target_index").agg(slots.alias("s"))
+    pad = lambda c, zero: F.concat(
+        F.transform("s", lambda x: x[c]), F.array_repeat(zero, F.lit(max_len) - F.size("s"))
+    )
+    return per_user.select(
+        "user_id",
+        pad("item_index", F.lit(0).cast("long")).alias("item_ids"),
+        pad("action_id", F.lit(0).cast("int")).alias("action_ids"),
+        pad("time_gap", F.lit(0.0)).alias("time_gaps"),
+        "target_index",
+    )

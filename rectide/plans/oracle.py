@@ -31,7 +31,7 @@ lw AS (
                         WHEN 'complete_view' THEN 1.5 WHEN 'high_interest' THEN 2.5 END AS DOUBLE) AS action_weight
   FROM lab
 ),
-numbered AS (
+numbered AS MATERIALIZED (
   SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(video_id AS VARCHAR) AS item_id,
          action, CAST(action_weight AS DOUBLE) AS action_weight,
          CAST(trunc(ts_raw) AS BIGINT) AS ts,
@@ -40,17 +40,17 @@ numbered AS (
          LAG(CAST(trunc(ts_raw) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts_raw, video_id, row_ix) AS prev_ts
   FROM lw WHERE action_weight >= 0.0
 ),
-seq AS (
+seq AS MATERIALIZED (
   SELECT user_id, pos, n, item_id, action, action_weight, action_weight AS event_weight, ts,
          CASE WHEN pos = 1 THEN 0 ELSE GREATEST(ts - prev_ts, 0) END AS delta,
          CASE WHEN pos <= n - 2 THEN 'train' WHEN pos = n - 1 THEN 'validation' ELSE 'test' END AS split
   FROM numbered WHERE n >= 5
 ),
 train AS (SELECT * FROM seq WHERE pos <= n - 2),
-hist AS (SELECT DISTINCT user_id, item_id FROM seq WHERE pos <= n - 1),
-users AS (SELECT DISTINCT user_id FROM seq),
-cands AS (SELECT DISTINCT CAST(video_id AS VARCHAR) AS item_id FROM wm),
-tgt AS (
+hist AS MATERIALIZED (SELECT DISTINCT user_id, item_id FROM seq WHERE pos <= n - 1),
+users AS MATERIALIZED (SELECT DISTINCT user_id FROM seq),
+cands AS MATERIALIZED (SELECT DISTINCT CAST(video_id AS VARCHAR) AS item_id FROM wm),
+tgt AS MATERIALIZED (
   SELECT user_id,
          max(CASE WHEN pos = n THEN item_id END) AS test_item_id,
          max(CASE WHEN pos = n - 1 THEN item_id END) AS validation_item_id,
@@ -64,7 +64,7 @@ tgt AS (
 """
 
 POP = """
-pop_scores AS (
+pop_scores AS MATERIALIZED (
   SELECT item_id, CAST(SUM(CAST(event_weight AS DECIMAL(38,6))) AS DOUBLE) AS score
   FROM train GROUP BY item_id
 ),
@@ -75,7 +75,7 @@ pop_pairs AS (
   SELECT u.user_id, s.item_id, s.score FROM users u CROSS JOIN pop_scored s
   WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = u.user_id AND h.item_id = s.item_id)
 ),
-pop_recs AS (
+pop_recs AS MATERIALIZED (
   SELECT * FROM (
     SELECT user_id, item_id, score,
            ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
@@ -85,23 +85,23 @@ pop_recs AS (
 
 ITEMCF = """
 cf_first AS (SELECT user_id, item_id, min(pos) AS first_pos FROM train GROUP BY user_id, item_id),
-cf_capped AS (
+cf_capped AS MATERIALIZED (
   SELECT user_id, item_id FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY first_pos DESC) AS r FROM cf_first
   ) WHERE r <= 100
 ),
-cf_pop AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS popularity FROM cf_capped GROUP BY item_id),
+cf_pop AS MATERIALIZED (SELECT item_id, CAST(count(*) AS DOUBLE) AS popularity FROM cf_capped GROUP BY item_id),
 cf_pairs AS (
   SELECT a.item_id, b.item_id AS neighbor_id, CAST(count(*) AS DOUBLE) AS sim
   FROM cf_capped a JOIN cf_capped b ON a.user_id = b.user_id AND a.item_id <> b.item_id
   GROUP BY a.item_id, b.item_id
 ),
-cf_nbrs AS (
+cf_nbrs AS MATERIALIZED (
   SELECT * FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbor_id) AS nrank FROM cf_pairs
   ) WHERE nrank <= 200
 ),
-cf_scored AS (
+cf_scored AS MATERIALIZED (
   SELECT h.user_id, nb.neighbor_id AS item_id, sum(nb.sim) AS score
   FROM hist h JOIN cf_nbrs nb ON h.item_id = nb.item_id
   WHERE nb.neighbor_id IN (SELECT item_id FROM cands)
@@ -159,7 +159,7 @@ dh AS (
   SELECT dq.*, CASE WHEN mx.m <= 0 THEN 0.0 ELSE raw_hot / mx.m END AS hot_score
   FROM dq, (SELECT max(raw_hot) AS m FROM dq) mx
 ),
-feat AS (
+feat AS MATERIALIZED (
   SELECT c.video_id AS item_id,
          CASE WHEN coalesce(cp.caption_text, '') <> '' THEN cp.caption_text
               WHEN coalesce(c.category_text, '') <> '' THEN c.category_text
@@ -229,7 +229,7 @@ FROM (UNPIVOT wide ON "HR@10", "NDCG@10", "Recall@10", "HR@20", "NDCG@20", "Reca
 
 
 SIDS = """
-sidmap AS (
+sidmap AS MATERIALIZED (
   SELECT CAST(p_partkey AS VARCHAR) AS item_id,
          CAST(DENSE_RANK() OVER (ORDER BY p_type) - 1 AS VARCHAR) || '-' ||
          CAST(CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) - 1 AS VARCHAR) || '-' ||
@@ -238,18 +238,18 @@ sidmap AS (
 ),
 mev AS (SELECT t.user_id, t.pos, m.sid FROM train t JOIN sidmap m USING (item_id)),
 mnum AS (SELECT *, LAG(sid) OVER (PARTITION BY user_id ORDER BY pos) AS prev_sid FROM mev),
-trans AS (SELECT prev_sid AS src, sid AS dst, CAST(count(*) AS DOUBLE) AS cnt FROM mnum WHERE prev_sid IS NOT NULL GROUP BY 1, 2),
-gcnt AS (SELECT sid, CAST(count(*) AS DOUBLE) AS cnt FROM mev GROUP BY sid),
-hev AS (SELECT h.user_id, h.pos, m.sid FROM seq h JOIN sidmap m USING (item_id) WHERE h.pos <= h.n - 1),
-hx AS (SELECT DISTINCT user_id, sid FROM hev),
-b0 AS (SELECT user_id, CAST([] AS VARCHAR[]) AS path, arg_max(sid, pos) AS cur, 0.0 AS score FROM hev GROUP BY user_id)
+trans AS MATERIALIZED (SELECT prev_sid AS src, sid AS dst, CAST(count(*) AS DOUBLE) AS cnt FROM mnum WHERE prev_sid IS NOT NULL GROUP BY 1, 2),
+gcnt AS MATERIALIZED (SELECT sid, CAST(count(*) AS DOUBLE) AS cnt FROM mev GROUP BY sid),
+hev AS MATERIALIZED (SELECT h.user_id, h.pos, m.sid FROM seq h JOIN sidmap m USING (item_id) WHERE h.pos <= h.n - 1),
+hx AS MATERIALIZED (SELECT DISTINCT user_id, sid FROM hev),
+b0 AS MATERIALIZED (SELECT user_id, CAST([] AS VARCHAR[]) AS path, arg_max(sid, pos) AS cur, 0.0 AS score FROM hev GROUP BY user_id)
 """
 
 
 def beam_step(i: int, width: int = 5) -> str:
     p = f"b{i - 1}"
     return f"""
-c{i} AS (
+c{i} AS MATERIALIZED (
   SELECT b.user_id, b.path, b.score, t.dst, t.cnt FROM {p} b JOIN trans t ON t.src = b.cur
   WHERE NOT list_contains(b.path, t.dst)
     AND NOT EXISTS (SELECT 1 FROM hx WHERE hx.user_id = b.user_id AND hx.sid = t.dst)
@@ -264,19 +264,19 @@ e{i} AS (
   SELECT user_id, list_append(path, dst) AS path, dst AS cur, score + cnt AS score
   FROM (SELECT * FROM c{i} UNION ALL SELECT * FROM g{i})
 ),
-x{i} AS (
+x{i} AS MATERIALIZED (
   SELECT user_id, path, cur, score FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, path) AS r FROM e{i}
   ) WHERE r <= {width}
 ),
-b{i} AS (
+b{i} AS MATERIALIZED (
   SELECT * FROM x{i}
   UNION ALL SELECT user_id, path, cur, score FROM {p} WHERE user_id NOT IN (SELECT user_id FROM x{i})
 )"""
 
 
 BEAM = SIDS.strip() + "," + ",".join(beam_step(i).strip() for i in (1, 2, 3)) + """,
-best AS (
+best AS MATERIALIZED (
   SELECT user_id, path, score FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, path) AS r FROM b3
   ) WHERE r = 1
@@ -284,7 +284,7 @@ best AS (
 """
 
 GEN = """
-gsteps AS (SELECT user_id, unnest(path) AS sid, generate_subscripts(path, 1) AS step FROM best),
+gsteps AS MATERIALIZED (SELECT user_id, unnest(path) AS sid, generate_subscripts(path, 1) AS step FROM best),
 gdec AS (
   SELECT g.user_id, m.item_id, g.step FROM gsteps g JOIN sidmap m USING (sid)
   WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.user_id = g.user_id AND h.item_id = m.item_id)
@@ -292,7 +292,7 @@ gdec AS (
 ggen AS (
   SELECT user_id, item_id, 0 AS src, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY step, item_id) AS r FROM gdec
 ),
-gitems AS (
+gitems AS MATERIALIZED (
   SELECT m.item_id, m.sid, ROW_NUMBER() OVER (ORDER BY g.cnt DESC, g.sid, m.item_id) AS irank
   FROM sidmap m JOIN gcnt g USING (sid)
 ),
@@ -328,11 +328,11 @@ cnum AS (
          COUNT(*) OVER (PARTITION BY user_id) AS n
   FROM pev
 ),
-cseq AS (SELECT * FROM cnum WHERE n >= 3),
+cseq AS MATERIALIZED (SELECT * FROM cnum WHERE n >= 3),
 cusers AS (SELECT DISTINCT user_id FROM cseq),
-chist AS (SELECT DISTINCT user_id, item_id FROM cseq WHERE pos <= n - 2),
+chist AS MATERIALIZED (SELECT DISTINCT user_id, item_id FROM cseq WHERE pos <= n - 2),
 ctgt AS (SELECT user_id, item_id AS test_item_id FROM cseq WHERE pos = n),
-citems AS (
+citems AS MATERIALIZED (
   SELECT CAST(p.p_partkey AS VARCHAR) AS item_id, p.p_type AS topic, p.p_brand AS author_id,
          s.publish_time, CAST(coalesce(s.exposure_count, 0) AS INTEGER) AS exposure_count,
          round(p.p_retailprice - floor(p.p_retailprice), 2) AS quality_score
@@ -345,7 +345,7 @@ ccatalog AS (SELECT item_id FROM citems UNION SELECT item_id FROM cseq)
 
 CPOP = """
 cp_scores AS (SELECT item_id, CAST(SUM(CAST(event_weight AS DECIMAL(38,6))) AS DOUBLE) AS score FROM cseq GROUP BY item_id),
-crecs AS (
+crecs AS MATERIALIZED (
   SELECT * FROM (
     SELECT u.user_id, s.item_id, s.score,
            ROW_NUMBER() OVER (PARTITION BY u.user_id ORDER BY s.score DESC, s.item_id) AS rank
@@ -357,23 +357,23 @@ crecs AS (
 
 CCF = """
 ccf_first AS (SELECT user_id, item_id, min(pos) AS first_pos FROM cseq GROUP BY user_id, item_id),
-ccf_capped AS (
+ccf_capped AS MATERIALIZED (
   SELECT user_id, item_id FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY first_pos DESC) AS r FROM ccf_first
   ) WHERE r <= 100
 ),
-ccf_pop AS (SELECT item_id, CAST(count(*) AS DOUBLE) AS popularity FROM ccf_capped GROUP BY item_id),
+ccf_pop AS MATERIALIZED (SELECT item_id, CAST(count(*) AS DOUBLE) AS popularity FROM ccf_capped GROUP BY item_id),
 ccf_pairs AS (
   SELECT a.item_id, b.item_id AS neighbor_id, CAST(count(*) AS DOUBLE) AS sim
   FROM ccf_capped a JOIN ccf_capped b ON a.user_id = b.user_id AND a.item_id <> b.item_id
   GROUP BY a.item_id, b.item_id
 ),
-ccf_nbrs AS (
+ccf_nbrs AS MATERIALIZED (
   SELECT * FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbor_id) AS nrank FROM ccf_pairs
   ) WHERE nrank <= 200
 ),
-ccf_scored AS (
+ccf_scored AS MATERIALIZED (
   SELECT h.user_id, nb.neighbor_id AS item_id, sum(nb.sim) AS score
   FROM chist h JOIN ccf_nbrs nb ON h.item_id = nb.item_id
   WHERE NOT EXISTS (SELECT 1 FROM chist h2 WHERE h2.user_id = h.user_id AND h2.item_id = nb.neighbor_id)
@@ -385,7 +385,7 @@ ccf_fill AS (
   WHERE u.user_id NOT IN (SELECT user_id FROM ccf_scored)
     AND NOT EXISTS (SELECT 1 FROM chist h WHERE h.user_id = u.user_id AND h.item_id = p.item_id)
 ),
-crecs AS (
+crecs AS MATERIALIZED (
   SELECT * FROM (
     SELECT user_id, item_id, score, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
     FROM (SELECT * FROM ccf_scored UNION ALL SELECT * FROM ccf_fill)
@@ -420,8 +420,8 @@ cmetrics AS (
 
 VEC = """
 vec AS (SELECT CAST(vec_id AS VARCHAR) AS item_id, embedding FROM embeddings),
-vexp AS (SELECT item_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS d FROM vec),
-vnorm AS (SELECT item_id, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM vexp GROUP BY item_id)
+vexp AS MATERIALIZED (SELECT item_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS d FROM vec),
+vnorm AS MATERIALIZED (SELECT item_id, greatest(sqrt(sum(x * x)), 1e-12) AS nrm FROM vexp GROUP BY item_id)
 """
 
 
@@ -429,8 +429,8 @@ def cosine_scores(qexp: str) -> str:
     """Cosine of query vectors ``{qexp}(user_id, d, q)`` against every item vector."""
     return f"""
 qn AS (SELECT user_id, greatest(sqrt(sum(q * q)), 1e-12) AS qnrm FROM {qexp} GROUP BY user_id),
-dots AS (SELECT q.user_id, v.item_id, sum(q.q * v.x) AS dot FROM {qexp} q JOIN vexp v USING (d) GROUP BY q.user_id, v.item_id),
-cos AS (
+dots AS MATERIALIZED (SELECT q.user_id, v.item_id, sum(q.q * v.x) AS dot FROM {qexp} q JOIN vexp v USING (d) GROUP BY q.user_id, v.item_id),
+cos AS MATERIALIZED (
   SELECT d.user_id, d.item_id, d.dot / (qn.qnrm * vn.nrm) AS score
   FROM dots d JOIN qn USING (user_id) JOIN vnorm vn USING (item_id)
 )"""
@@ -454,15 +454,15 @@ SELECT user_id, CAST(rank AS BIGINT) AS rank, item_id, round(score, 6) AS score
   WHERE NOT EXISTS (SELECT 1 FROM vh h WHERE h.user_id = c.user_id AND h.item_id = c.item_id)
 ) WHERE rank <= 10""",
     "contrastive_loss": with_(CONTENT, VEC, """
-uq AS (
+uq AS MATERIALIZED (
   SELECT s.user_id, v.d, avg(v.x) AS q FROM cseq s JOIN vexp v USING (item_id) WHERE s.pos <= s.n - 2 GROUP BY s.user_id, v.d
 ),
-tv AS (SELECT s.user_id, v.d, v.x FROM cseq s JOIN vexp v USING (item_id) WHERE s.pos = s.n - 1),
+tv AS MATERIALIZED (SELECT s.user_id, v.d, v.x FROM cseq s JOIN vexp v USING (item_id) WHERE s.pos = s.n - 1),
 pu AS (
   SELECT user_id, (ROW_NUMBER() OVER (ORDER BY user_id) - 1) // 32 AS batch_id
   FROM (SELECT DISTINCT user_id FROM uq WHERE user_id IN (SELECT user_id FROM tv))
 ),
-logits AS (
+logits AS MATERIALIZED (
   SELECT a.user_id AS i, b.user_id AS j, sum(q.q * t.x) / 0.07 AS z
   FROM pu a JOIN pu b ON a.batch_id = b.batch_id
   JOIN uq q ON q.user_id = a.user_id JOIN tv t ON t.user_id = b.user_id AND t.d = q.d
@@ -557,6 +557,10 @@ FROM bb""",
     "protocol_violations": with_(WATCH, """
 cstat AS (SELECT count(*) AS nrows, count(DISTINCT item_id) AS ndist FROM cands),
 useq AS (SELECT user_id, max(n) AS n FROM seq GROUP BY user_id),
+pstat AS (
+  SELECT user_id, count(*) AS nrows, count(DISTINCT pos) AS dpos, min(pos) AS pmin, max(pos) AS pmax, max(n) AS nmax, min(n) AS nmin
+  FROM seq GROUP BY user_id
+),
 checks AS (
   SELECT 'manifest.schema_version' AS rule, 0 AS violations
   UNION ALL SELECT 'manifest.protocol_name', 0
@@ -569,11 +573,7 @@ checks AS (
   UNION ALL SELECT 'manifest.target_field', 0
   UNION ALL SELECT 'sequence.missing_user_id', (SELECT count(*) FROM useq WHERE coalesce(user_id, '') = '')
   UNION ALL SELECT 'sequence.incomplete_split', (SELECT count(*) FROM useq WHERE n < 2)
-  UNION ALL SELECT 'sequence.train_history_leak', 0
-  UNION ALL SELECT 'sequence.validation_not_penultimate', 0
-  UNION ALL SELECT 'sequence.test_history_mismatch', 0
-  UNION ALL SELECT 'sequence.test_not_last', 0
-  UNION ALL SELECT 'sequence.duplicate_user', 0
+  UNION ALL SELECT 'sequence.position_gap', (SELECT count(*) FROM pstat WHERE pmin <> 1 OR pmax <> nmax OR dpos <> nrows OR nmin <> nmax)
   UNION ALL SELECT 'sequence.unreachable_target', (SELECT count(*) FROM tgt WHERE test_item_id NOT IN (SELECT item_id FROM cands))
 )""") + "SELECT rule, CAST(violations AS BIGINT) AS violations FROM checks",
     "recommendation_violations": with_(WATCH, POP, """

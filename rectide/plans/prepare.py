@@ -103,3 +103,72 @@ def watch_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     return _CACHE[key]
+
+
+def run_counters(log: DataFrame, seq: DataFrame, candidates: DataFrame, items: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+    """One-row run summary (counts only)."""
+    from rectide.operators.ordering import with_scalars
+
+    out = log.agg(F.count(F.lit(1)).alias("interactions"))
+    out = with_scalars(out, seq.agg(F.countDistinct("user_id").alias("sequences")))
+    out = with_scalars(out, candidates.agg(F.count(F.lit(1)).alias("candidates")))
+    if items is not None:
+        out = with_scalars(out, items.agg(F.countDistinct("item_id").alias("items")))
+    if users is not None:
+        out = with_scalars(out, users.agg(F.countDistinct("user_id").alias("users")))
+    return out
+
+
+def prepare_watch_dataset(
+    spark: SparkSession,
+    raw_dir: str,
+    out_dir: str,
+    matrix: str = "small",
+    min_history: int = 3,
+    max_users: int = 0,
+    max_interactions: int = 0,
+    random_seed: int = 42,
+) -> DataFrame:
+    """M15 (watch path): raw CSV bundle -> labelled interactions, item and user
+    features, JSON-lines sequences, candidate manifest; returns the counters."""
+    from rectide.operators.behaviors import sample_first_rows, sample_first_users
+    from rectide.operators.features import build_item_features, build_user_features
+    from rectide.operators.protocol import assert_clean, build_manifest, long_sequence_violations, write_manifest
+    from rectide.operators.sequences import sequence_rows
+    from rectide.sources import files
+
+    raw = files.load_raw_bundle(spark, raw_dir, matrix)
+    inter = sample_first_rows(sample_first_users(raw["interactions"], max_users), max_interactions)
+    log = cut_lineage(attach_actions(inter))
+    seq = cut_lineage(build_watch_sequences(log, min_history=min_history))
+    items = build_item_features(raw["item_categories"], raw["caption_category"], raw["item_daily_features"])
+    users = build_user_features(raw["user_features"], log)
+    cands = candidate_universe(log, "video_id")
+    assert_clean(long_sequence_violations(seq, cands))
+    root = out_dir.rstrip("/")
+    files.write_table(log, f"{root}/interactions.parquet")
+    files.write_table(items, f"{root}/items.parquet")
+    files.write_table(users, f"{root}/users.parquet")
+    files.write_sequences(sequence_rows(seq), f"{root}/user_sequences.jsonl")
+    write_manifest(build_manifest(spark, cands, matrix, random_seed), cands, f"{root}/candidate_manifest")
+    return run_counters(log, seq, cands, items, users)
+
+
+def prepare_content_dataset(spark: SparkSession, data_dir: str, out_dir: str) -> DataFrame:
+    """M15 (content path): validated items/users/interactions -> sequences."""
+    from rectide.operators.quality import assert_valid, validate_interactions, validate_items, validate_users
+    from rectide.operators.sequences import sequence_rows
+    from rectide.sources import files
+
+    root = data_dir.rstrip("/")
+    items = files.read_csv(spark, f"{root}/items.csv")
+    users = files.read_csv(spark, f"{root}/users.csv")
+    inter = files.read_csv(spark, f"{root}/interactions.csv")
+    for check in (validate_items(items), validate_users(users), validate_interactions(inter)):
+        assert_valid(check)
+    inter = inter.withColumn("event_time", F.try_to_timestamp("event_time"))
+    seq = cut_lineage(build_content_sequences(inter))
+    out = out_dir.rstrip("/")
+    files.write_sequences(sequence_rows(seq), f"{out}/user_sequences.jsonl")
+    files.write_table(items, f"{out}/items.parquet")
+    return run_counters(inter, seq, seq.select("item_id").distinct(), items, users)

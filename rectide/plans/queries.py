@@ -351,9 +351,9 @@ def q_lsh_topk(spark, sf):
 
 def q_protocol_violations(spark, sf):
     b = watch_bundle(spark, sf)
-    rows = sequences.sequence_rows(b.seq)
     manifest = protocol.build_manifest(spark, b.candidates, "sf")
-    out = protocol.manifest_violations(manifest, b.candidates).unionByName(protocol.sequence_violations(rows, b.candidates))
+    # long-form checks: no per-user list is ever assembled
+    out = protocol.manifest_violations(manifest, b.candidates).unionByName(protocol.long_sequence_violations(b.seq, b.candidates))
     return out.select("rule", _long("violations").alias("violations"))
 
 
