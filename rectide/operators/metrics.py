@@ -42,6 +42,9 @@ def item_topics(items: DataFrame | None) -> DataFrame | None:
     if items is None or "item_id" not in items.columns:
         return None
     topic = F.col("topic").cast("string") if "topic" in items.columns else F.lit("unknown")
+    if "row_ix" in items.columns:
+        # a later row of the same item wins (dictionary-update semantics)
+        return items.groupBy(F.col("item_id").cast("string").alias("item_id")).agg(F.max_by(topic, F.col("row_ix")).alias("topic"))
     return items.select(F.col("item_id").cast("string").alias("item_id"), topic.alias("topic")).dropDuplicates(["item_id"])
 
 
