@@ -17,7 +17,7 @@ BIN_BITS = 12
 
 
 def fit_budget(lengths: Iterable[tuple[int, int]], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
-    """How many documents of each length to take so that their words come nearest to, never above, ``budget``.
+    """How many documents of each length to take so that their words come nearest to ``budget`` (ties: below).
 
     ``lengths`` holds (length, documents).  Each length first gives its even
     share; of the rest, whole documents bring the remaining budget under
@@ -41,10 +41,11 @@ def fit_budget(lengths: Iterable[tuple[int, int]], budget: int, dp_words: int =
         left -= n * k
 
     items: list[tuple[int, int]] = []
-    full = (1 << (left + 1)) - 1
+    above = left + max(stock)  # one document may overshoot, where that is nearer
+    full = (1 << (above + 1)) - 1
     states = [1]
     for n in sorted(stock):
-        spare, step = min(stock[n] - taken[n], left // n), 1
+        spare, step = min(stock[n] - taken[n], above // n), 1
         while spare > 0 and not states[-1] >> left & 1:
             k = min(step, spare)
             items.append((n, k))
@@ -53,7 +54,10 @@ def fit_budget(lengths: Iterable[tuple[int, int]], budget: int, dp_words: int =
             step *= 2
         if states[-1] >> left & 1:
             break
-    at = states[-1].bit_length() - 1
+    at = (states[-1] & ((1 << (left + 1)) - 1)).bit_length() - 1
+    over = states[-1] >> (left + 1)
+    if over and (more := (over & -over).bit_length()) < left - at:
+        at = left + more
     for (n, k), before in zip(reversed(items), reversed(states[:-1])):
         if not before >> at & 1:
             taken[n] += k
