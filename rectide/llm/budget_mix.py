@@ -19,10 +19,11 @@ BIN_BITS = 12
 def fit_budget(lengths: Iterable[tuple[int, int]], budget: int, dp_words: int = DP_WORDS) -> dict[int, int]:
     """How many documents of each length to take so that their words come nearest to ``budget`` (ties: below).
 
-    ``lengths`` holds (length, documents).  Each length first gives its even
-    share; of the rest, whole documents bring the remaining budget under
-    ``dp_words`` (or the longest length); a bounded knapsack over bit sets then
-    fits what remains, exactly where some subset does.
+    ``lengths`` holds (length, documents).  Of a budget beyond ``dp_words`` (or
+    the longest length, if that is more) each length first gives its even share
+    of the excess, and whole documents, the longest first, what rounding leaves
+    of it.  A bounded knapsack over bit sets fits the remaining budget with the
+    remaining documents, exactly where some subset does.
     """
     stock = {int(n): int(c) for n, c in lengths if n > 0 and c > 0}
     total = sum(n * c for n, c in stock.items())
@@ -30,9 +31,9 @@ def fit_budget(lengths: Iterable[tuple[int, int]], budget: int, dp_words: int =
         return {}
     if budget >= total:
         return stock
-    taken = {n: c * budget // total for n, c in stock.items()}
-    left = budget - sum(n * k for n, k in taken.items())
     reach = max(dp_words, max(stock))
+    taken = {n: c * max(0, budget - reach) // total for n, c in stock.items()}
+    left = budget - sum(n * k for n, k in taken.items())
     for n in sorted(stock, reverse=True):
         if left <= reach:
             break
