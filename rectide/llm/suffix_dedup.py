@@ -28,6 +28,8 @@ SCHEMA = (
     "spans array<struct<begin: long, end: long>>"
 )
 EXACT = 100
+#: A shard holds up to ``length`` bytes for each distinct suffix, so blocks and shards are smaller here.
+BLOCK_BYTES = 4 << 20
 _SLICE = 1 << 20
 
 
@@ -60,7 +62,8 @@ class SuffixFamily:
         rank, fresh = 0, array[~seen]
         if len(fresh):
             while self.levels and self.levels[-1][0] <= rank:
-                fresh = np.sort(np.concatenate([self.levels.pop()[1], fresh]), kind="stable")
+                fresh = np.concatenate([self.levels.pop()[1], fresh])
+                fresh.sort(kind="stable")
                 rank += 1
             self.levels.append((rank, fresh))
         out = np.empty(len(seen), dtype=bool)
@@ -119,7 +122,7 @@ def suffix_dedup(
     depth: int = 1,
     cells_per_byte: int = 1,
     batch_suffixes: int = 1 << 16,
-    block_bytes: int = rounds.BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts earlier.
 
