@@ -109,7 +109,7 @@ def _anchored_runs(text: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray,
         last = np.concatenate([cut, [len(at)]]) - 1
         low.append(at[first] + begin)
         high.append(at[last] + begin)
-        keys.append(hashed[anchor[at[first]]])
+        keys.append(mix(hashed[anchor[at[first]]], 7))  # anchors are minima: spread them anew
     if not low:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none.astype(np.uint64)
