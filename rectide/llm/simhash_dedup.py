@@ -85,17 +85,24 @@ def _variants(fps: DataFrame, distance: int, parts: int) -> DataFrame:
     return out
 
 
+def _mask_sql(parts: int) -> str:
+    """The bits of the part that column ``part`` names."""
+    width = 64 // parts
+    return f"shiftleft({(1 << width) - 1 if width < 64 else -1}L, part * {width})"
+
+
 def _near(a: str, b: str, distance: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def links(fps: DataFrame, distance: int = 4, parts: int = 2, bucket: int = 64) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, parts: int = 2, bucket: int = 512) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints within ``distance`` bits, directly or in chains.
 
     A fingerprint is cut into ``parts``; two within ``distance`` bits agree up to
     distance // parts bits in some part.  There each emits all variants within
     half that radius (rounded up), so both emit one in common; the rows are
-    shuffled on the variant and colliding pairs are verified on all 64 bits.
+    shuffled on the variant and colliding pairs are verified on all 64 bits
+    (fingerprints that agree in the whole part only where neither flips a bit).
     With ``parts`` 1 this is the ball of half the whole radius.
 
     A variant with more than ``bucket`` fingerprints is not paired: its members
@@ -127,11 +134,24 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 2, bucket: int = 64) -
     )
     crowded = shared.filter(F.col("place") == bucket + 1).select("part", "variant")
     small = shared.join(crowded, ["part", "variant"], "left_anti")
-    lists = small.groupBy("part", "variant").agg(F.array_sort(F.collect_list("fp")).alias("fps"))  # at most ``bucket``
+    # at most ``bucket`` members: each pairs with later ones, in one only of the variants they share
+    half = F.col("variant").bitwiseXOR(F.col("fp").bitwiseAND(F.expr(_mask_sql(parts))))
+    lists = small.groupBy("part", "variant").agg(
+        F.array_sort(F.collect_list(F.struct(half.alias("flip"), "fp"))).alias("held")
+    )
     pairs = (
-        lists.select("fps", F.posexplode("fps").alias("i", "a"))
-        .select("a", F.explode(F.slice("fps", F.col("i") + 2, F.lit(bucket))).alias("b"))
-        .filter(_near("a", "b", distance))
+        lists.select("variant", "held", F.posexplode("held").alias("i", "x"))
+        .select(
+            F.col("x.fp").alias("a"),
+            F.explode(
+                F.filter(
+                    F.slice("held", F.col("i") + 2, F.lit(bucket)),
+                    lambda y: (F.bit_count(F.col("x.fp").bitwiseXOR(y["fp"])) <= distance)
+                    & ((F.col("x.flip") != y["flip"]) | (y["flip"] == 0)),
+                )
+            ).alias("y"),
+        )
+        .select("a", F.col("y.fp").alias("b"))
         .distinct()
     )
     members = shared.join(crowded, ["part", "variant"], "left_semi").select("fp").distinct()
@@ -139,7 +159,7 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 2, bucket: int = 64) -
 
 
 def simhash_dedup(
-    docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 2, bucket: int = 64
+    docs: DataFrame, shingle: int = 4, distance: int = 4, parts: int = 2, bucket: int = 512
 ) -> DataFrame:
     """Components of documents whose SimHash fingerprints chain within ``distance`` bits.
 
