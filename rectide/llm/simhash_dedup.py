@@ -85,10 +85,25 @@ def _variants(fps: DataFrame, distance: int, parts: int) -> DataFrame:
     return out
 
 
-def _mask_sql(parts: int) -> str:
-    """The bits of the part that column ``part`` names."""
-    width = 64 // parts
-    return f"shiftleft({(1 << width) - 1 if width < 64 else -1}L, part * {width})"
+def _forests(batches, distance: int):
+    """Verify all pairs of each list and give a spanning forest of those within ``distance`` bits."""
+    for batch in batches:
+        edges: list[tuple[int, int]] = []
+        for fps in batch.column("fps").to_pylist():
+            held = np.sort(np.array(fps, dtype=np.int64))
+            near = np.bitwise_count((held[:, None] ^ held[None, :]).view(np.uint64)) <= distance
+            unseen = np.ones(len(held), dtype=bool)
+            while unseen.any():
+                todo = [int(np.argmax(unseen))]
+                unseen[todo[0]] = False
+                while todo:
+                    at = todo.pop()
+                    found = np.flatnonzero(near[at] & unseen)
+                    unseen[found] = False
+                    todo.extend(found[::-1].tolist())
+                    edges.extend((int(held[at]), int(held[x])) for x in found)
+        a, b = zip(*edges) if edges else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _near(a: str, b: str, distance: int):
@@ -101,8 +116,9 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 2, bucket: int = 512)
     A fingerprint is cut into ``parts``; two within ``distance`` bits agree up to
     distance // parts bits in some part.  There each emits all variants within
     half that radius (rounded up), so both emit one in common; the rows are
-    shuffled on the variant and colliding pairs are verified on all 64 bits
-    (fingerprints that agree in the whole part only where neither flips a bit).
+    shuffled on the variant and colliding pairs are verified on all 64 bits.  Of
+    the verified pairs of a variant a spanning forest is kept, fewer edges than
+    members, so that a dense group gives no square of edges.
     With ``parts`` 1 this is the ball of half the whole radius.
 
     A variant with more than ``bucket`` fingerprints is not paired: its members
@@ -134,26 +150,8 @@ def links(fps: DataFrame, distance: int = 4, parts: int = 2, bucket: int = 512)
     )
     crowded = shared.filter(F.col("place") == bucket + 1).select("part", "variant")
     small = shared.join(crowded, ["part", "variant"], "left_anti")
-    # at most ``bucket`` members: each pairs with later ones, in one only of the variants they share
-    half = F.col("variant").bitwiseXOR(F.col("fp").bitwiseAND(F.expr(_mask_sql(parts))))
-    lists = small.groupBy("part", "variant").agg(
-        F.array_sort(F.collect_list(F.struct(half.alias("flip"), "fp"))).alias("held")
-    )
-    pairs = (
-        lists.select("variant", "held", F.posexplode("held").alias("i", "x"))
-        .select(
-            F.col("x.fp").alias("a"),
-            F.explode(
-                F.filter(
-                    F.slice("held", F.col("i") + 2, F.lit(bucket)),
-                    lambda y: (F.bit_count(F.col("x.fp").bitwiseXOR(y["fp"])) <= distance)
-                    & ((F.col("x.flip") != y["flip"]) | (y["flip"] == 0)),
-                )
-            ).alias("y"),
-        )
-        .select("a", F.col("y.fp").alias("b"))
-        .distinct()
-    )
+    lists = small.groupBy("part", "variant").agg(F.collect_list("fp").alias("fps"))  # at most ``bucket``
+    pairs = lists.select("fps").mapInArrow(lambda batches: _forests(batches, distance), "a long, b long").distinct()
     members = shared.join(crowded, ["part", "variant"], "left_semi").select("fp").distinct()
     return pairs.unionByName(stars(members)).distinct()
 
