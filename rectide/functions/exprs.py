@@ -82,7 +82,7 @@ def activity_bucket(count: Column | str) -> Column:
 def has_text(value: Column | str) -> Column:
     """Not NULL/NaN, not blank, not the text 'nan' in any case."""
     value = F.col(value) if isinstance(value, str) else value
-    text = F.trim(value.cast("string"))
+    text = F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")  # all white space, not spaces alone
     return (
         value.isNotNull()
         & (text != F.lit(""))

@@ -106,6 +106,10 @@ def ordered_positions(
     return joined.select(*out)
 
 
+#: Salts that a rank block's needs-rows are spread over.
+SALTS = 8
+
+
 def prefix_join(
     needs: DataFrame,
     ranked: DataFrame,
@@ -118,13 +122,15 @@ def prefix_join(
 
     Equivalent to the theta join ``needs JOIN ranked ON rank <= need`` but runs
     as an equi-join on rank blocks: each needs-row is replicated once per block
-    it reaches, so output is linear in sum(need) and the hot block 0 is a plain
-    skewed equi-join key that AQE can split.  ``keys`` are extra equi-join
-    columns (a ranking per key, e.g. per source id).
+    it reaches, so output is linear in sum(need).  Every needs-row reaches block
+    0, so the rows are salted and the ranking is replicated ``SALTS`` times.
+    ``keys`` are extra equi-join columns (a ranking per key, e.g. per source id).
     """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in needs.columns]), F.lit(SALTS)).cast("int")
     last_block = F.floor((F.col(need_col) - 1) / F.lit(block)).cast("int")
     expanded = needs.select(
         "*",
+        salt.alias("_rt_salt"),
         F.explode(
             F.when(F.col(need_col) > 0, F.sequence(F.lit(0), last_block)).otherwise(
                 F.array().cast("array<int>")
@@ -133,11 +139,11 @@ def prefix_join(
     )
     blocked = ranked.withColumn(
         "_rt_blk", F.floor((F.col(rank_col) - 1) / F.lit(block)).cast("int")
-    )
+    ).withColumn("_rt_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        expanded.join(blocked, [*keys, "_rt_blk"])
+        expanded.join(blocked, [*keys, "_rt_blk", "_rt_salt"])
         .where(F.col(rank_col) <= F.col(need_col))
-        .drop("_rt_blk")
+        .drop("_rt_blk", "_rt_salt")
     )
 
 
