@@ -10,6 +10,7 @@ from rectide.llm.decontaminate import decontaminate
 from rectide.llm.ftrl_quality import ftrl_quality
 from rectide.llm.host_rules import host_rules
 from rectide.llm.license_scan import license_scan
+from rectide.llm.oracle import LLM_ORACLE  # noqa: F401
 from rectide.llm.ring_shards import ring_shards
 from rectide.llm.simhash_dedup import simhash_dedup
 from rectide.llm.suffix_dedup import suffix_dedup
@@ -76,4 +77,3 @@ LLM_QUERIES = {
         op10_backoff_lm,
     )
 }
-LLM_ORACLE: dict[str, str] = {}
