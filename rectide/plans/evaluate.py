@@ -16,6 +16,8 @@ from rectide.operators import generative, itemcf, metrics, popular, protocol, re
 from rectide.plans.prepare import Bundle
 
 WATCH_METHODS = ("popular", "itemcf", "ann")
+#: Histories and neighbour lists of the co-occurrence method (arguments of ``fit_itemcf``).
+ITEMCF_CUTS = (100, 200)
 CONTENT_METHODS = ("popular", "itemcf", "generative", "generative_rerank")
 
 
@@ -25,7 +27,7 @@ def recommend_watch(method: str, b: Bundle, k: int = 20, vectors: DataFrame | No
         ranked = popular.rank_catalog(popular.popularity_from_sequences(b.train), b.candidates)
         return popular.recommend_from_ranking(ranked, users, b.histories, k)
     if method == "itemcf":
-        nbrs, pop = itemcf.fit_itemcf(b.train)
+        nbrs, pop = itemcf.fit_itemcf(b.train, *ITEMCF_CUTS)
         return itemcf.itemcf_recommendations(nbrs, pop, b.histories, b.candidates, k)
     if method in ("ann", "ann_transformer", "vector"):
         if vectors is None:
@@ -68,7 +70,7 @@ def recommend_content(
         ranked = popular.rank_catalog(popular.popularity_from_sequences(b.train), None)
         return popular.recommend_from_ranking(ranked, users, b.histories, k)
     if method == "itemcf":
-        nbrs, pop = itemcf.fit_itemcf(b.train)
+        nbrs, pop = itemcf.fit_itemcf(b.train, *ITEMCF_CUTS)
         return itemcf.itemcf_recommendations(nbrs, pop, b.histories, None, k)
     if method in ("generative", "generative_rerank"):
         if mapping is None:

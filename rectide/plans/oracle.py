@@ -425,6 +425,22 @@ vnorm AS MATERIALIZED (SELECT item_id, greatest(sqrt(sum(x * x)), 1e-12) AS nrm
 """
 
 
+EXAMPLES = """
+idx AS (
+  SELECT item_id, ROW_NUMBER() OVER (ORDER BY CAST(item_id AS DECIMAL(38,0))) AS item_index
+  FROM (SELECT CAST(p_partkey AS VARCHAR) AS item_id FROM part UNION SELECT item_id FROM seq)
+),
+ttgt AS (SELECT s.user_id, i.item_index AS target_index FROM seq s JOIN idx i USING (item_id) WHERE s.pos = s.n - 1),
+examples AS MATERIALIZED (
+  SELECT s.user_id, CAST(s.pos - GREATEST(s.n - 2 - 64, 0) AS BIGINT) AS slot, CAST(coalesce(i.item_index, 0) AS BIGINT) AS item_index,
+         CAST(CASE s.action WHEN 'short_view' THEN 1 WHEN 'valid_view' THEN 2 WHEN 'complete_view' THEN 3 WHEN 'high_interest' THEN 4 ELSE 0 END AS BIGINT) AS action_id,
+         CAST(s.delta AS DOUBLE) AS time_gap, CAST(t.target_index AS BIGINT) AS target_index
+  FROM seq s LEFT JOIN idx i USING (item_id) JOIN ttgt t USING (user_id)
+  WHERE s.pos <= s.n - 2 AND s.pos > s.n - 2 - 64
+)
+"""
+
+
 def cosine_scores(qexp: str) -> str:
     """Cosine of query vectors ``{qexp}(user_id, d, q)`` against every item vector."""
     return f"""
@@ -474,17 +490,37 @@ per_row AS (
 lse AS (
   SELECT p.i, p.m + ln(sum(exp(l.z - p.m))) - p.pz AS row_loss FROM per_row p JOIN logits l ON l.i = p.i GROUP BY p.i, p.m, p.pz
 )""") + "SELECT round(avg(row_loss), 6) AS loss FROM lse",
-    "training_examples": with_(WATCH, """
-idx AS (
-  SELECT item_id, ROW_NUMBER() OVER (ORDER BY CAST(item_id AS DECIMAL(38,0))) AS item_index
-  FROM (SELECT CAST(p_partkey AS VARCHAR) AS item_id FROM part UNION SELECT item_id FROM seq)
-),
-ttgt AS (SELECT s.user_id, i.item_index AS target_index FROM seq s JOIN idx i USING (item_id) WHERE s.pos = s.n - 1)""") + """
-SELECT s.user_id, CAST(s.pos - GREATEST(s.n - 2 - 64, 0) AS BIGINT) AS slot, CAST(coalesce(i.item_index, 0) AS BIGINT) AS item_index,
-       CAST(CASE s.action WHEN 'short_view' THEN 1 WHEN 'valid_view' THEN 2 WHEN 'complete_view' THEN 3 WHEN 'high_interest' THEN 4 ELSE 0 END AS BIGINT) AS action_id,
-       round(CAST(s.delta AS DOUBLE), 6) AS time_gap, CAST(t.target_index AS BIGINT) AS target_index
-FROM seq s LEFT JOIN idx i USING (item_id) JOIN ttgt t USING (user_id)
-WHERE s.pos <= s.n - 2 AND s.pos > s.n - 2 - 64""",
+    "training_examples": with_(WATCH, EXAMPLES) + """
+SELECT user_id, slot, item_index, action_id, round(time_gap, 6) AS time_gap, target_index FROM examples""",
+    "training_log_gaps": with_(WATCH, EXAMPLES) + "SELECT user_id, slot, round(ln(1 + time_gap), 6) AS log_gap FROM examples",
+    "padded_examples": with_(WATCH, EXAMPLES, """
+slots AS (SELECT user_id, target_index, unnest(range(1, 65)) AS slot FROM (SELECT DISTINCT user_id, target_index FROM examples))""") + """
+SELECT s.user_id, string_agg(CAST(coalesce(e.item_index, 0) AS VARCHAR), ',' ORDER BY s.slot) AS item_ids,
+       string_agg(CAST(coalesce(e.action_id, 0) AS VARCHAR), ',' ORDER BY s.slot) AS action_ids,
+       string_agg(CAST(CAST(coalesce(e.time_gap, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY s.slot) AS time_gaps, s.target_index
+FROM slots s LEFT JOIN examples e ON e.user_id = s.user_id AND e.slot = s.slot
+GROUP BY s.user_id, s.target_index""",
+    "mean_query_candidates_topk": with_(CONTENT, VEC, """
+vh AS (SELECT user_id, item_id FROM cseq WHERE pos <= n - 1),
+vq AS (SELECT h.user_id, v.d, avg(v.x) AS q FROM vh h JOIN vexp v USING (item_id) GROUP BY h.user_id, v.d)""", cosine_scores("vq")) + """
+SELECT user_id, CAST(rank AS BIGINT) AS rank, item_id, round(score, 6) AS score FROM (
+  SELECT c.*, ROW_NUMBER() OVER (PARTITION BY c.user_id ORDER BY c.score DESC, c.item_id) AS rank FROM cos c
+  WHERE c.item_id IN (SELECT test_item_id FROM ctgt)
+    AND NOT EXISTS (SELECT 1 FROM vh h WHERE h.user_id = c.user_id AND h.item_id = c.item_id)
+) WHERE rank <= 10""",
+    "popular_log_scores": with_(CONTENT) + """
+SELECT CAST(item_id AS VARCHAR) AS item_id, round(sum(w), 6) AS score FROM pev WHERE item_id IS NOT NULL GROUP BY item_id""",
+    "hit_rate_popular": with_(WATCH, POP) + """
+SELECT t.user_id, round(t.test_action_weight * CASE WHEN r.rank IS NULL THEN 0 ELSE 1 END, 6) AS hit
+FROM tgt t LEFT JOIN pop_recs r ON r.user_id = t.user_id AND r.item_id = t.test_item_id""",
+    "itemcf_neighbors_all": with_(WATCH, """
+held AS MATERIALIZED (SELECT DISTINCT user_id, item_id FROM train),
+shared AS (
+  SELECT a.item_id, b.item_id AS neighbor_id, CAST(count(*) AS DOUBLE) AS sim
+  FROM held a JOIN held b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY a.item_id, b.item_id
+)""") + """
+SELECT item_id, neighbor_id, round(sim, 6) AS sim,
+       CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbor_id) AS BIGINT) AS nrank FROM shared""",
     "freshness_longtail": with_(WATCH, POP.replace("rank <= 20", "rank <= 30"), CONTENT) + """
 SELECT r.user_id, r.item_id, CAST(r.rank AS BIGINT) AS rank,
        round(1.0 / r.rank + CASE WHEN coalesce(ci.publish_time >= TIMESTAMP '1998-07-25 00:00:00', false) THEN 0.15 ELSE 0.0 END, 6) AS adjusted_score,

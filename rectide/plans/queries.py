@@ -104,6 +104,17 @@ def q_popular_scores(spark, sf):
     return _pop_scores(watch_bundle(spark, sf)).select("item_id", r6("score").alias("score"))
 
 
+def q_popular_log_scores(spark, sf):
+    scores = popular.popularity_from_log(testdata.content_interactions(spark, sf))
+    return scores.select("item_id", r6("score").alias("score"))
+
+
+def q_hit_rate_popular(spark, sf):
+    """A22, weighted by the test event."""
+    hits = metrics.hit_rate(_pop_recs(spark, sf), watch_bundle(spark, sf).targets, K_EVAL, "test_action_weight")
+    return hits.select("user_id", r6("hit").alias("hit"))
+
+
 def q_popular_topk(spark, sf):
     return _pop_recs(spark, sf).select("user_id", _long("rank").alias("rank"), "item_id", r6("score").alias("score"))
 
@@ -140,6 +151,12 @@ def q_itemcf_neighbors(spark, sf):
     return nbrs.select("item_id", "neighbor_id", r6("sim").alias("sim"), _long("nrank").alias("nrank"))
 
 
+def q_itemcf_neighbors_all(spark, sf):
+    """No cut of histories or neighbour lists."""
+    nbrs, _ = itemcf.fit_itemcf(watch_bundle(spark, sf).train)
+    return nbrs.select("item_id", "neighbor_id", r6("sim").alias("sim"), _long("nrank").alias("nrank"))
+
+
 def q_itemcf_topk(spark, sf):
     return _cf_recs(spark, sf).select("user_id", _long("rank").alias("rank"), "item_id", r6("score").alias("score"))
 
@@ -267,6 +284,13 @@ def q_mean_query_topk(spark, sf):
     return recs.select("user_id", _long("rank").alias("rank"), "item_id", r6("score").alias("score"))
 
 
+def q_mean_query_candidates_topk(spark, sf):
+    """Candidates: the items that are the test item of some user."""
+    cands = content_bundle(spark, sf).targets.select(F.col("test_item_id").alias("item_id")).distinct()
+    recs = vector.vector_recommendations(_vector_histories(spark, sf), testdata.item_vectors(spark, sf), cands, 10)
+    return recs.select("user_id", _long("rank").alias("rank"), "item_id", r6("score").alias("score"))
+
+
 def q_contrastive_loss(spark, sf):
     """A29 on (mean train-history vector, validation-item vector) pairs in
     batches of 32 users (user id order)."""
@@ -283,11 +307,24 @@ def q_contrastive_loss(spark, sf):
     return metrics.info_nce_loss(batched, 0.07).select(r6("loss").alias("loss"))
 
 
-def q_training_examples(spark, sf):
+def _examples(spark, sf):
     b = watch_bundle(spark, sf)
     parts = testdata.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("item_id"))
-    idx = sequences.item_index(b.seq, parts)
-    ex = sequences.training_examples(b.seq, idx, 64)
+    return sequences.training_examples(b.seq, sequences.item_index(b.seq, parts), 64)
+
+
+def q_training_log_gaps(spark, sf):
+    return _examples(spark, sf).select("user_id", _long("slot").alias("slot"), r6("log_gap").alias("log_gap"))
+
+
+def q_padded_examples(spark, sf):
+    padded = sequences.padded_examples(_examples(spark, sf), 64)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",").alias(c)
+    return padded.select("user_id", text("item_ids"), text("action_ids"), text("time_gaps"), _long("target_index").alias("target_index"))
+
+
+def q_training_examples(spark, sf):
+    ex = _examples(spark, sf)
     return ex.select("user_id", _long("slot").alias("slot"), _long("item_index").alias("item_index"),
                      _long("action_id").alias("action_id"), r6("time_gap").alias("time_gap"), _long("target_index").alias("target_index"))
 
@@ -396,6 +433,12 @@ REGISTRY: dict[str, Query] = {
     "mean_query_topk": q_mean_query_topk,
     "contrastive_loss": q_contrastive_loss,
     "training_examples": q_training_examples,
+    "training_log_gaps": q_training_log_gaps,
+    "padded_examples": q_padded_examples,
+    "mean_query_candidates_topk": q_mean_query_candidates_topk,
+    "popular_log_scores": q_popular_log_scores,
+    "hit_rate_popular": q_hit_rate_popular,
+    "itemcf_neighbors_all": q_itemcf_neighbors_all,
     "freshness_longtail": q_freshness_longtail,
     "rerank": q_rerank,
     "collision_purity": q_collision_purity,

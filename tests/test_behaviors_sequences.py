@@ -36,13 +36,13 @@ def _watch(spark, rows):
 
 
 def test_watch_sequence_split_and_deltas(spark):
-    log = _watch(spark, [(1, 10, 100.0, 0.4), (1, 11, 90.0, 1.1), (1, 12, 110.0, 2.3), (1, 13, 130.0, 0.8)])
-    seq = build_watch_sequences(log, min_history=2).orderBy("pos").collect()
-    assert [r.item_id for r in seq] == ["11", "10", "12", "13"]
-    assert [r.delta for r in seq] == [0, 10, 10, 20]
-    assert [r.split for r in seq] == ["train", "train", "validation", "test"]
-    t = targets(build_watch_sequences(log, min_history=2)).collect()[0]
-    assert (t.validation_item_id, t.test_item_id, t.train_length) == ("12", "13", 2)
+    log = _watch(spark, [(8, 52, 40.0, 0.1), (8, 57, 15.0, 1.0), (8, 55, 27.0, 2.0), (8, 51, 27.0, 0.3), (8, 59, 90.0, 0.7)])
+    seq = build_watch_sequences(log, min_history=3).orderBy("pos").collect()
+    assert [r.item_id for r in seq] == ["57", "51", "55", "52", "59"]  # equal times: by id
+    assert [r.delta for r in seq] == [0, 12, 0, 13, 50]
+    assert [r.split for r in seq] == ["train", "train", "train", "validation", "test"]
+    t = targets(build_watch_sequences(log, min_history=3)).collect()[0]
+    assert (t.validation_item_id, t.test_item_id, t.train_length) == ("52", "59", 3)
 
 
 def test_watch_sequences_drop_short_users(spark):
@@ -65,19 +65,19 @@ def test_derived_watch_ratio_keeps_null_duration(spark):
 
 def test_content_sequence_skips_negative_events(spark):
     rows = [
-        ("u_001", "i_001", "click", "2026-01-01 10:00:00", 3.0),
-        ("u_001", "i_002", "like", "2026-01-01 10:01:00", 3.0),
-        ("u_001", "i_005", "skip", "2026-01-01 10:01:30", 3.0),
-        ("u_001", "i_003", "collect", "2026-01-01 10:02:00", 3.0),
-        ("u_001", "i_004", "click", "2026-01-01 10:03:00", 3.0),
+        ("c7", "m3", "collect", "2025-03-02 08:00:00", 12.0),
+        ("c7", "m9", "skip", "2025-03-02 08:00:05", 1.0),
+        ("c7", "m1", "like", "2025-03-02 07:59:00", 4.0),
+        ("c7", "m6", "click", "2025-03-02 08:05:00", 2.0),
+        ("c7", "m4", "click", "2025-03-02 08:02:00", 9.0),
     ]
     df = spark.createDataFrame(rows, "user_id string, item_id string, event_type string, event_time string, dwell_time double").withColumn(
         "event_time", F.to_timestamp("event_time")
     )
     seq = build_content_sequences(df).orderBy("pos").collect()
-    assert [r.item_id for r in seq] == ["i_001", "i_002", "i_003", "i_004"]
-    assert [r.event_weight for r in seq] == [1.0, 2.0, 3.0, 1.0]
-    assert build_content_sequences(df.where("item_id IN ('i_001', 'i_002')")).count() == 0
+    assert [r.item_id for r in seq] == ["m1", "m3", "m4", "m6"]
+    assert [r.event_weight for r in seq] == [2.0, 3.0, 1.0, 1.0]
+    assert build_content_sequences(df.where("item_id IN ('m1', 'm3')")).count() == 0
 
 
 def test_hot_user_positions_are_consecutive_across_partitions(spark):
@@ -102,16 +102,16 @@ def test_hot_user_positions_are_consecutive_across_partitions(spark):
 
 
 def test_train_only_view_and_json_round_trip(spark, tmp_path):
-    log = _watch(spark, [(1, 10, 100.0, 0.4), (1, 11, 110.0, 1.1), (1, 12, 120.0, 2.3), (1, 13, 130.0, 0.8)])
+    log = _watch(spark, [(4, 71, 5.0, 0.1), (4, 72, 9.0, 0.9), (4, 74, 30.0, 1.2), (4, 73, 11.0, 2.0)])
     seq = build_watch_sequences(log, min_history=2)
     tr = train_only_view(seq).orderBy("pos").collect()
-    assert [r.item_id for r in tr] == ["10", "11"] and tr[0].protocol_view == "train_only" and tr[0].n == 2
+    assert [r.item_id for r in tr] == ["71", "72"] and tr[0].protocol_view == "train_only" and tr[0].n == 2
     path = str(tmp_path / "seq")
     sequence_rows(seq).write.json(path)
     row = json.loads(open(next((tmp_path / "seq").glob("part-*.json"))).readline())
-    assert row["item_ids"] == ["10", "11", "12", "13"]
-    assert row["train_history_item_ids"] == ["10", "11"]
-    assert row["test_history_item_ids"] == ["10", "11", "12"]
+    assert row["item_ids"] == ["71", "72", "73", "74"]
+    assert row["train_history_item_ids"] == ["71", "72"]
+    assert row["test_history_item_ids"] == ["71", "72", "73"]
     back = sequences_from_rows(spark.read.json(path)).orderBy("pos").collect()
-    assert [r.item_id for r in back] == ["10", "11", "12", "13"]
+    assert [r.item_id for r in back] == ["71", "72", "73", "74"]
     assert math.isclose(back[2].event_weight, 2.5)

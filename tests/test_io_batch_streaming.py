@@ -54,23 +54,23 @@ def test_metric_upsert_newest_wins(spark):
 
 
 def test_vector_batch_explanations(spark):
+    # cosine with 71: 72 0.96, 74 0.8, 73 0
     vecs = spark.createDataFrame(
-        [("10", [1.0, 0.0, 0.1, 0.0]), ("20", [0.7, 0.2, 0.1, 0.1]), ("30", [0.0, 1.0, 0.2, 0.0]), ("40", [0.1, 0.2, 1.0, 0.3])],
-        "item_id string, vector array<float>",
+        [("71", [3.0, 4.0]), ("72", [4.0, 3.0]), ("73", [-4.0, 3.0]), ("74", [0.0, 1.0])], "item_id string, vector array<float>"
     )
-    mapping = spark.createDataFrame([("10", "0-0-1"), ("20", "0-1-1"), ("30", "1-0-1"), ("40", "2-0-0")], "item_id string, semantic_id_str string")
-    items = spark.createDataFrame([("10", "food"), ("20", "food"), ("30", "music"), ("40", "sports")], "item_id string, topic string")
+    mapping = spark.createDataFrame([("71", "3-0-2"), ("72", "3-1-0"), ("73", "0-0-4"), ("74", "6-2-2")], "item_id string, semantic_id_str string")
+    items = spark.createDataFrame([("71", "cars"), ("72", "boats"), ("73", "cars"), ("74", "trains")], "item_id string, topic string")
     req = spark.createDataFrame(
-        [("r1", "u1", ["10"], ["valid_view"], 2), ("r2", "u2", [], [], None)],
+        [("a9", "u7", ["71"], ["complete_view"], 2), ("b4", "u8", [], [], None)],
         "request_id string, user_id string, history_item_ids array<string>, history_actions array<string>, top_k int",
     )
     out = batch.vector_batch(req, vecs, mapping, items).orderBy("request_id", "ann_rank").collect()
-    r1 = [r for r in out if r.request_id == "r1"]
-    assert [r.item_id for r in r1] == ["20", "40"]
-    assert r1[0].semantic_id == "0-1-1" and r1[0].source == "ann_transformer" and r1[0].ann_rank == 1
-    assert r1[0].reason == "ANN retrieved short-video candidate in topic=food; recent action context=valid_view."
-    r2 = [r for r in out if r.request_id == "r2"]
-    assert len(r2) == 4 and r2[0].action_context == "unknown"
+    known = [r for r in out if r.request_id == "a9"]
+    assert [r.item_id for r in known] == ["72", "74"]
+    assert known[0].semantic_id == "3-1-0" and known[0].source == "ann_transformer" and known[0].ann_rank == 1
+    assert known[0].reason == "ANN retrieved short-video candidate in topic=boats; recent action context=complete_view."
+    empty = [r for r in out if r.request_id == "b4"]
+    assert len(empty) == 4 and empty[0].action_context == "unknown"
 
 
 def test_request_validation(spark):

@@ -7,10 +7,11 @@ from rectide.operators.sequences import sequences_from_rows
 
 def _items(spark):
     rows = [
-        ("i_old_tech", "technology", "a_001", "2026-05-01 10:00:00", 0.90, 80),
-        ("i_new_tech", "technology", "a_002", "2026-06-28 10:00:00", 0.82, 30),
-        ("i_finance", "finance", "a_001", "2026-06-20 10:00:00", 0.78, 40),
-        ("i_tail_life", "lifestyle", "a_003", "2026-05-20 10:00:00", 0.96, 0),
+        ("r1", "jazz", "w1", "2025-01-05 09:00:00", 0.50, 90),
+        ("r2", "jazz", "w2", "2025-03-09 09:00:00", 0.40, 70),
+        ("r3", "rock", "w1", "2025-01-20 09:00:00", 0.60, 55),
+        ("r4", "folk", "w3", "2025-02-01 09:00:00", 0.95, 1),
+        ("r5", "jazz", "w4", "2025-01-01 09:00:00", 0.30, 60),
     ]
     df = spark.createDataFrame(rows, "item_id string, topic string, author_id string, publish_time string, quality_score double, exposure_count int")
     return df.withColumn("publish_time", F.to_timestamp("publish_time"))
@@ -22,17 +23,19 @@ def test_filter_seen(spark):
     assert [r.item_id for r in rerank.filter_seen(c, seen).collect()] == ["i_new"]
 
 
-def test_diversity_rerank_example(spark):
+def test_diversity_rerank_topics_authors_and_tail(spark):
     c = spark.createDataFrame(
-        [("u", "i_old_tech", 0.90), ("u", "i_new_tech", 0.85), ("u", "i_finance", 0.80), ("u", "i_tail_life", 0.20)],
+        [("u", "r1", 0.80), ("u", "r2", 0.70), ("u", "r3", 0.60), ("u", "r4", 0.05), ("u", "r5", 0.75)],
         "user_id string, item_id string, score double",
     )
-    e = rerank.enrich_candidates(c, _items(spark), "2026-06-29T10:00:00", 7, 0.20, 5, 0.90)
-    out = rerank.diversity_rerank(e, 3, max_per_author=1, long_tail_slots=1).orderBy("rerank_pos").collect()
-    assert [r.item_id for r in out] == ["i_new_tech", "i_finance", "i_tail_life"]
-    assert [r.topic for r in out] == ["technology", "finance", "lifestyle"]
-    assert out[-1].source_reason == "long_tail_protection"
-    assert out[0].is_fresh and out[0].adjusted_score == pytest.approx(1.05)
+    e = rerank.enrich_candidates(c, _items(spark), "2025-03-10T00:00:00", 7, 0.20, 5, 0.90)
+    out = rerank.diversity_rerank(e, 4, max_per_author=1, long_tail_slots=1).orderBy("rerank_pos").collect()
+    # r2 leads with its boost; r3 changes the topic; r1 shares the author of r3, so r5; r4 has the kept place
+    assert [r.item_id for r in out] == ["r2", "r3", "r5", "r4"]
+    assert [r.topic for r in out] == ["jazz", "rock", "jazz", "folk"]
+    assert [r.source_reason for r in out] == ["ranked"] * 3 + ["long_tail_protection"]
+    assert out[0].is_fresh and out[0].adjusted_score == pytest.approx(0.9)
+    assert not any(r.is_fresh for r in out[1:])
 
 
 def test_exact_cosine_search(spark):
