@@ -27,6 +27,7 @@ from rectide.operators import (
     vector,
 )
 from rectide.operators.ordering import global_rank
+from rectide.plans.job_queries import JOBS
 from rectide.plans.prepare import content_bundle, watch_bundle, watch_items
 from rectide.sources import testdata
 
@@ -470,4 +471,5 @@ REGISTRY: dict[str, Query] = {
     "item_features": q_item_features,
     "user_features": q_user_features,
     "popularity_buckets": q_popularity_buckets,
+    **JOBS,
 }

@@ -73,12 +73,14 @@ def resolve_raw_file(spark: SparkSession, raw_dir: str, filename: str, required:
 
 # ---- readers -------------------------------------------------------------------
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Tolerant CSV scan (header, quoted multi-line fields, PERMISSIVE mode;
-    malformed rows keep their text in ``_corrupt_record`` when a schema is given)."""
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Tolerant CSV scan (header, quoted fields, PERMISSIVE mode; malformed
+    rows keep their text in ``_corrupt_record`` when a schema is given).
+    ``multi_line`` allows line breaks inside quotes, and makes each file one task;
+    without it a large file is read by many."""
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
     )
@@ -92,33 +94,40 @@ def with_ingest_order(df: DataFrame) -> DataFrame:
     return df if "row_ix" in df.columns else df.withColumn("row_ix", F.monotonically_increasing_id())
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """S1 + P1 normalisation + required columns."""
-    frame = normalize_matrix_columns(read_csv(spark, path), row_ix="row_ix")
+    frame = normalize_matrix_columns(read_csv(spark, path, multi_line=multi_line), row_ix="row_ix")
     require_columns(frame, MATRIX_COLUMNS, "matrix")
     return frame
 
 
-def read_optional_csv(spark: SparkSession, path: str | None, required_columns: Iterable[str]) -> DataFrame:
+def read_optional_csv(
+    spark: SparkSession, path: str | None, required_columns: Iterable[str], multi_line: bool = True
+) -> DataFrame:
     """S3: a missing file gives an empty table with the required columns."""
     required = sorted(set(required_columns))
     if path is None or not path_exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in required))
-    frame = read_csv(spark, path)
+    frame = read_csv(spark, path, multi_line=multi_line)
     if "item_id" in frame.columns and "video_id" not in frame.columns:
         frame = frame.withColumnRenamed("item_id", "video_id")
     require_columns(frame, set(required), path.rsplit("/", 1)[-1])
     return frame
 
 
-def load_raw_bundle(spark: SparkSession, raw_dir: str, matrix: str = "small") -> dict[str, DataFrame]:
-    """The five raw tables, lazily defined."""
+def load_raw_bundle(
+    spark: SparkSession, raw_dir: str, matrix: str = "small", multi_line: Iterable[str] | None = None
+) -> dict[str, DataFrame]:
+    """The five raw tables, lazily defined.  ``multi_line`` names the tables
+    that may hold line breaks inside quotes (default: all; see ``read_csv``)."""
     name = matrix.lower()
     if name not in ("small", "big"):
         raise ValueError("matrix must be 'small' or 'big'")
-    out = {"interactions": read_matrix(spark, resolve_raw_file(spark, raw_dir, RAW_FILES[name]))}
+    broken = {"interactions", *OPTIONAL_REQUIRED} if multi_line is None else set(multi_line)
+    out = {"interactions": read_matrix(spark, resolve_raw_file(spark, raw_dir, RAW_FILES[name]), "interactions" in broken)}
     for key, req in OPTIONAL_REQUIRED.items():
-        out[key] = read_optional_csv(spark, resolve_raw_file(spark, raw_dir, RAW_FILES[key], required=False), req)
+        path = resolve_raw_file(spark, raw_dir, RAW_FILES[key], required=False)
+        out[key] = read_optional_csv(spark, path, req, multi_line=key in broken)
     return out
 
 

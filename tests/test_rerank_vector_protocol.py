@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,22 @@ def test_manifest_round_trip(spark, tmp_path):
     assert row.candidate_count == 6 and row.random_seed == 7
     assert sorted(r.item_id for r in c2.collect()) == [str(i) for i in range(1, 7)]
     assert sum(_counts(protocol.manifest_violations(m2, c2)).values()) == 0
+
+
+def test_cosine_blocks_without_coalescing(spark):
+    """Many blocks over many partitions give the pairs of one block."""
+    rows = [(str(i), [float((i * 7) % 11), float((i * 5) % 13), float(i % 3) + 0.5]) for i in range(60)]
+    items = spark.createDataFrame(rows, "item_id string, vector array<double>")
+    queries = items.select(F.col("item_id").alias("user_id"), F.col("vector").alias("qvec"), F.lit(60).alias("keep"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = vector.exact_cosine_search(queries, items, query_rows_per_block=16, item_rows_per_block=16).collect()
+        near = vector.lsh_neighbors(items, 60, num_tables=2, bits=1, rows_per_block=8).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(found) == len({(r.user_id, r.item_id) for r in found}) == 3600
+    x = np.array([r[1] for r in rows])
+    up = x @ vector.plane_weights(2, 3).T >= 0
+    want = {(str(i), str(j)) for i in range(60) for j in range(60) if (up[i] == up[j]).any()}
+    assert {(r.item_id, r.neighbor_id) for r in near} == want
