@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rectide.plans.oracle import CONTENT, CMETRICS, CPOP, ORACLE, VEC, WATCH, cosine_scores, with_
+from rectide.plans.oracle import CMETRICS, CONTENT, CPOP, ORACLE, POP, VEC, WATCH, cosine_scores, with_
 
 REQUESTS = """
 rq AS MATERIALIZED (
@@ -87,7 +87,64 @@ checks AS (
 )
 """
 
+TFIDF = """
+tok AS MATERIALIZED (
+  SELECT CAST(doc_id AS VARCHAR) AS item_id,
+         unnest(regexp_extract_all(lower(concat_ws(' ', text, lang)), '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200c}\\x{200d}]{2,}')) AS term
+  FROM documents
+),
+vocab AS (SELECT term, count(DISTINCT item_id) AS df FROM tok GROUP BY term ORDER BY count(*) DESC, term LIMIT 2048),
+raw AS MATERIALIZED (
+  SELECT t.item_id, t.term, count(*) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + any_value(v.df))) + 1.0) AS w
+  FROM tok t JOIN vocab v USING (term) GROUP BY t.item_id, t.term
+)
+"""
+
+# one row a user and place; a place goes to the best candidate whose author has
+# room, another topic than the last first
+GREEDY = """
+enr AS MATERIALIZED (
+  SELECT r.user_id, r.item_id, ci.topic, ci.author_id, ci.quality_score, ci.exposure_count,
+         1.0 / r.rank + CASE WHEN coalesce(ci.publish_time >= TIMESTAMP '1998-07-25 00:00:00', false) THEN 0.15 ELSE 0.0 END AS adj,
+         ci.exposure_count <= 25 AND ci.quality_score >= 0.85 AS tail
+  FROM pop_recs r JOIN citems ci USING (item_id)
+),
+kept AS MATERIALIZED (
+  SELECT * FROM enr WHERE tail QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY quality_score DESC, exposure_count, item_id) = 1
+),
+pool AS MATERIALIZED (
+  SELECT e.*, ROW_NUMBER() OVER (PARTITION BY e.user_id ORDER BY e.adj DESC, e.topic, e.item_id) AS o
+  FROM enr e WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.user_id = e.user_id AND k.item_id = e.item_id)
+),
+places AS (
+  SELECT u.user_id, 0 AS place, 10 - CASE WHEN k.user_id IS NULL THEN 0 ELSE 1 END AS free,
+         CAST([] AS VARCHAR[]) AS items, CAST([] AS VARCHAR[]) AS authors, CAST(NULL AS VARCHAR) AS topic
+  FROM (SELECT DISTINCT user_id FROM enr) u LEFT JOIN kept k USING (user_id)
+  UNION ALL
+  SELECT user_id, place, free, items, authors, topic FROM (
+    SELECT s.user_id, s.place + 1 AS place, s.free, list_append(s.items, p.item_id) AS items,
+           list_append(s.authors, p.author_id) AS authors, p.topic,
+           ROW_NUMBER() OVER (PARTITION BY s.user_id ORDER BY coalesce(p.topic = s.topic, false), p.o) AS best
+    FROM places s JOIN pool p ON p.user_id = s.user_id
+    WHERE s.place < s.free AND NOT list_contains(s.items, p.item_id)
+      AND len(list_filter(s.authors, lambda a: a = p.author_id)) < 2
+  ) WHERE best = 1
+),
+finals AS MATERIALIZED (SELECT * FROM places QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY place DESC) = 1),
+chosen AS (
+  SELECT user_id, unnest(items) AS item_id, unnest(range(1, len(items) + 1)) AS rerank_pos, 'ranked' AS source_reason FROM finals
+  UNION ALL
+  SELECT f.user_id, k.item_id, f.place + 1, 'long_tail_protection' FROM finals f JOIN kept k USING (user_id)
+  WHERE f.place < 10 AND len(list_filter(f.authors, lambda a: a = k.author_id)) < 2
+)
+"""
+
 JOB_ORACLE: dict[str, str] = {
+    "tfidf_weights": with_(TFIDF) + """
+SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""",
+    "rerank": with_(WATCH, POP.replace("rank <= 20", "rank <= 30"), CONTENT, GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT c.user_id, CAST(c.rerank_pos AS BIGINT) AS rerank_pos, c.item_id, round(e.adj, 6) AS adjusted_score, c.source_reason
+FROM chosen c JOIN enr e USING (user_id, item_id)""",
     "csv_bundle_read": with_(WATCH) + """
 SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(video_id AS VARCHAR) AS video_id, ts_raw AS timestamp, round(watch_ratio, 6) AS watch_ratio FROM wm""",
     "csv_captions_read": """

@@ -256,7 +256,14 @@ def q_item_factors(spark, sf):
     return semantic_id.item_factors(watch_bundle(spark, sf).train, vector_size=32)
 
 
+def q_tfidf_weights(spark, sf):
+    """M1, P16 without stop words."""
+    out = semantic_id.tfidf_weights(testdata.text_items(spark, sf), stop_words=[])
+    return out.withColumn("weight", F.round("weight", 6))
+
+
 JOBS = {
+    "tfidf_weights": q_tfidf_weights,
     "csv_bundle_read": q_csv_bundle,
     "csv_captions_read": q_csv_captions,
     "items_read": q_items_read,
