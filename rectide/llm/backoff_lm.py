@@ -192,6 +192,9 @@ def backoff_lm(
         )
         known, base = automaton.root_probability(token)
         n = len(counts)
+        base, whole = np.log10(base), automaton.traverse(token, before)
+        # bincount gives whole numbers where a block has no documents
+        sums = [np.bincount(doc, x, minlength=n).astype(np.float64) for x in (base, whole)]
         return pa.table(
             {
                 "doc_id": pa.array(block.ids, pa.int64()),
@@ -199,22 +202,22 @@ def backoff_lm(
                 "n_tokens": pa.array(counts, pa.int64()),
                 "n_known": pa.array(np.bincount(doc[known > 0], minlength=n), pa.int64()),
                 "train_tokens": pa.array(np.full(n, total), pa.int64()),
-                "base_score": pa.array(np.bincount(doc, np.log10(base), minlength=n)),
-                "score": pa.array(np.bincount(doc, automaton.traverse(token, before), minlength=n)),
+                "base_score": pa.array(sums[0]),
+                "score": pa.array(sums[1]),
             }
         )
 
     arc_replies = rounds.answer(rounds.ask(blocks, None, send_arcs), merge_arcs)
     state_replies = rounds.answer(rounds.ask(blocks, arc_replies, send_states), merge_states)
     text = F.col("data").cast("string")
-    sums = (
+    corpus = (
         state_replies.filter(F.col("blk") == -1)
         .select(F.split(text, " ").cast("array<bigint>").alias("n"))
         .agg(F.coalesce(F.sum(F.col("n")[0]), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("n")[1]), F.lit(0)).alias("distinct"))
     )
     totals = (
         docs.sparkSession.range(shards)
-        .crossJoin(F.broadcast(sums))  # one row
+        .crossJoin(F.broadcast(corpus))  # one row
         .select(
             F.col("id").cast("int").alias("blk"),
             F.lit(-1).alias("shard"),
