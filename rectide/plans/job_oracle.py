@@ -193,6 +193,23 @@ codes AS MATERIALIZED (
 ),
 pairs AS MATERIALIZED (SELECT DISTINCT a.item_id AS user_id, b.item_id FROM codes a JOIN codes b USING (t, bucket)),
 vq AS (SELECT item_id AS user_id, d, x AS q FROM vexp)""", cosine_scores("vq")) + """
+SELECT user_id AS item_id, CAST(rank AS BIGINT) AS rank, item_id AS neighbor_id, round(score, 6) AS score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cos JOIN pairs USING (user_id, item_id)
+) WHERE rank <= 10""",
+    "lsh_probe_topk": with_(VEC, """
+planes AS (
+  SELECT p - 1 AS p, d, CAST((7919 * p * d + 104729 * p * p + 611953 * d * d) % 1000003 - 500001 AS DOUBLE) AS w
+  FROM (SELECT unnest(range(1, 257)) AS p) CROSS JOIN (SELECT DISTINCT CAST(d AS BIGINT) AS d FROM vexp)
+),
+signs AS MATERIALIZED (
+  SELECT v.item_id, p.p // 8 AS t, 1 << CAST(p.p % 8 AS INTEGER) AS bit, sum(v.x * p.w) AS margin
+  FROM vexp v JOIN planes p USING (d) GROUP BY v.item_id, p.p
+),
+codes AS MATERIALIZED (SELECT item_id, t, sum(CASE WHEN margin >= 0 THEN bit ELSE 0 END)::BIGINT AS bucket FROM signs GROUP BY item_id, t),
+flips AS (SELECT item_id, t, bit FROM signs QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id, t ORDER BY abs(margin), bit) <= 4),
+probes AS (SELECT * FROM codes UNION ALL SELECT c.item_id, c.t, xor(c.bucket, f.bit::BIGINT) FROM codes c JOIN flips f USING (item_id, t)),
+pairs AS MATERIALIZED (SELECT DISTINCT a.item_id AS user_id, b.item_id FROM probes a JOIN codes b USING (t, bucket)),
+vq AS (SELECT item_id AS user_id, d, x AS q FROM vexp)""", cosine_scores("vq")) + """
 SELECT user_id AS item_id, CAST(rank AS BIGINT) AS rank, item_id AS neighbor_id, round(score, 6) AS score FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM cos JOIN pairs USING (user_id, item_id)
 ) WHERE rank <= 10""",

@@ -381,6 +381,12 @@ def q_word2vec_items(spark, sf):
 
 
 def q_lsh_topk(spark, sf):
+    # the form that its SQL states: few candidates, low recall; lsh_probe_topk runs the defaults
+    nb = vector.lsh_neighbors(testdata.item_vectors(spark, sf), 10, num_tables=8, bits=8, probes=0)
+    return nb.select("item_id", _long("rank").alias("rank"), "neighbor_id", r6("score").alias("score"))
+
+
+def q_lsh_probe_topk(spark, sf):
     nb = vector.lsh_neighbors(testdata.item_vectors(spark, sf), 10)
     return nb.select("item_id", _long("rank").alias("rank"), "neighbor_id", r6("score").alias("score"))
 
@@ -448,6 +454,7 @@ REGISTRY: dict[str, Query] = {
     "semantic_ids_residual": q_semantic_ids_residual,
     "word2vec_items": q_word2vec_items,
     "lsh_topk": q_lsh_topk,
+    "lsh_probe_topk": q_lsh_probe_topk,
     "protocol_violations": q_protocol_violations,
     "recommendation_violations": q_recommendation_violations,
     "data_violations": q_data_violations,

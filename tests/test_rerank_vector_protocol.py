@@ -77,6 +77,19 @@ def test_lsh_neighbors_recall(spark):
     assert len(exact & approx) / len(exact) > 0.8
 
 
+def test_lsh_default_recall_on_embeddings(spark):
+    from rectide.sources import testdata
+
+    items = testdata.item_vectors(spark, "/root/testdata/sf0.001")
+    ids = [r.item_id for r in items.select("item_id").collect()]
+    exact = {(r.item_id, r.neighbor_id) for r in vector.item_neighbors(items, 11).collect() if r.item_id != r.neighbor_id}
+    near = vector.lsh_neighbors(items, 11).collect()
+    approx = {(r.item_id, r.neighbor_id) for r in near if r.item_id != r.neighbor_id}
+    assert len(exact) == 10 * len(ids)
+    assert len(exact & approx) / len(exact) >= 0.9
+    assert len(near) == 11 * len(ids)
+
+
 def test_vector_recommendations_fallback_to_global_mean(spark):
     vecs = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.9, 0.1]), ("3", [0.0, 1.0])], "item_id string, vector array<float>")
     hist = spark.createDataFrame([("u", 1, "unknown"), ("v", 1, "1")], "user_id string, pos int, item_id string")
