@@ -9,7 +9,7 @@ from rectide.llm.budget_mix import budget_mix
 from rectide.llm.decontaminate import decontaminate
 from rectide.llm.ftrl_quality import ftrl_quality
 from rectide.llm.host_rules import host_rules
-from rectide.llm.license_scan import license_scan
+from rectide.llm.license_scan import license_scan, license_windows
 from rectide.llm.oracle import LLM_ORACLE  # noqa: F401
 from rectide.llm.ring_shards import ring_shards
 from rectide.llm.simhash_dedup import simhash_dedup
@@ -25,6 +25,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op1_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_windows(_table(spark, sf_dir, "documents"))
+
+
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -66,6 +70,7 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan,
+        op1_license_windows,
         op2_ring_shards,
         op3_decontaminate,
         op4_host_rules,

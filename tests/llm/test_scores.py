@@ -12,7 +12,15 @@ from rectide.llm.backoff_lm import backoff_lm
 from rectide.llm.decontaminate import decontaminate
 from rectide.llm.ftrl_quality import ftrl_quality, with_quality
 from rectide.llm.host_rules import host_rules, rule_counts
-from rectide.llm.license_scan import TEMPLATES, license_scan, template_bigrams
+from rectide.llm.license_scan import (
+    LONG_TEMPLATES,
+    TEMPLATES,
+    license_scan,
+    license_windows,
+    size_bounds,
+    template_bigrams,
+    template_words,
+)
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -198,3 +206,50 @@ def test_license_scan(spark, docs, rows, no_docs):
         assert sorted([(r[0], r[1], r[3], r[4], r[5], r[6]) for r in got], key=key) == sorted(want, key=key)
     assert license_scan(no_docs).collect() == []
     assert all(r.n_matches == 0 for r in license_scan(docs, []).collect())
+
+
+def test_license_windows(spark, docs, rows, no_docs):
+    known = [(n, set(template_bigrams(t)), len(template_words(t)) - 1) for n, t in TEMPLATES + LONG_TEMPLATES]
+
+    def brute(text):
+        words = template_words(text or "")
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        found = []
+        for name, t, span in known:
+            if len(t & set(grams)) < size_bounds(len(t), 0.8)[0]:
+                continue
+            windows = [set(grams[i : i + span]) for i in range(len(grams)) if grams[i] in t]
+            dice = max(2 * len(w & t) / (len(w) + len(t)) for w in windows)
+            if dice >= 0.8:
+                found.append((dice, name))
+        return len(found), ",".join(sorted({n for _, n in found})), max(found, default=(None, None))
+
+    mit = dict(LONG_TEMPLATES[:1])["MIT"]
+    gpl = dict(LONG_TEMPLATES)["GPL-3.0"]
+
+    def wrap(text, size, lead=""):
+        words = text.split()
+        return "\n".join(lead + " ".join(words[i : i + size]) for i in range(0, len(words), size))
+
+    more = [
+        (1, "MIT License\n\nCopyright (c) 2020 Example\n\n" + wrap(mit, 11) + "\n", "MIT"),
+        (2, "#!/bin/sh\n" + wrap(gpl, 9, "# ") + "".join(f"\necho step {i} done" for i in range(50)), "GPL-3.0"),
+        (3, "Copyright 2020 Example. Licensed under the MIT License.", "MIT"),
+        (4, "prose " * 5000 + "Licensed under\nthe MIT\nLicense. " + "more " * 5000, "MIT"),
+        (5, "Released under a license", ""),
+        (6, None, ""),
+        (7, "Licensed under CC BY-SA 4.0. " * 300, "CC-BY-SA-4.0"),
+    ]
+    small = spark.createDataFrame(more, "doc_id long, text string, want string")
+    got = {r.doc_id: r for r in license_windows(small).collect()}
+    for i, _, want in more:
+        assert (want in got[i].licenses.split(",")) if want else got[i].licenses == ""
+    # lines alone, with the same templates, miss the wrapped and the embedded notices
+    lines = {r.doc_id: r for r in license_scan(small, TEMPLATES + LONG_TEMPLATES).collect()}
+    assert all(lines[i].n_matches == 0 for i in (2, 3, 4))
+    for df, data in ((docs, rows), (small, more)):
+        want = sorted(((r[0], *brute(r[1])) for r in data), key=str)
+        found = license_windows(df).collect()
+        assert sorted(((r[0], r[3], r[4], (r[6], r[5])) for r in found), key=str) == want
+    assert license_windows(no_docs).collect() == []
+    assert all(r.n_matches == 0 for r in license_windows(docs, []).collect())
