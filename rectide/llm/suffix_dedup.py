@@ -27,7 +27,10 @@ SCHEMA = (
     "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, "
     "spans array<struct<begin: long, end: long>>"
 )
-EXACT = 100
+#: Parts of a reply besides the sketch rows, and of a letter to the sketch.
+EXACT, HOT, HEAVY = 100, 101, 102
+#: Bytes of suffixes from which the runs of one anchor are split over the shards.
+ANCHOR_BYTES = 16 << 20
 #: A shard holds up to ``length`` bytes for each distinct suffix, so blocks and shards are smaller here.
 BLOCK_BYTES = 4 << 20
 _SLICE = 1 << 20
@@ -116,6 +119,23 @@ def _anchored_runs(text: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray,
     return np.concatenate(low), np.concatenate(high), np.concatenate(keys)
 
 
+def _single_windows(
+    text: np.ndarray, low: np.ndarray, high: np.ndarray, keys: np.ndarray, split: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs in order, those of ``split`` as runs of one start, keyed by a hash of its own ``length`` bytes."""
+    n = np.where(split, high - low + 1, 1)
+    run = np.repeat(np.arange(len(low)), n)
+    start = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    alone = split[run]
+    out = keys[run]
+    own, (up, _) = start[alone], powers(length)
+    hashed = np.zeros(len(own), dtype=np.uint64)
+    for i in range(length):
+        hashed += _CODES[text[own + i]] * up[i]
+    out[alone] = mix(hashed, 7)
+    return start, np.where(alone, start, high[run]), out
+
+
 def suffix_dedup(
     docs: DataFrame,
     length: int = 100,
@@ -123,6 +143,7 @@ def suffix_dedup(
     cells_per_byte: int = 1,
     batch_suffixes: int = 1 << 16,
     block_bytes: int = BLOCK_BYTES,
+    anchor_bytes: int = ANCHOR_BYTES,
 ) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts earlier.
 
@@ -134,8 +155,11 @@ def suffix_dedup(
     Starts are cut into runs sharing a content-defined anchor (see
     ``_anchored_runs``); a prefilter keeps the runs whose anchor may occur
     twice.  Each such run sends its bytes, once per block, to the shard of its
-    anchor, so all equal strings meet in one shard and a shard's size is bounded
-    by the number of shards, which grows with the corpus.  A shard takes its
+    anchor, so all equal strings meet in one shard.  An anchor that holds
+    ``anchor_bytes`` of suffixes or more over all blocks (a passage with many
+    different surroundings) is split: each window goes to a shard by a hash of
+    its own bytes, so equal strings still meet.  The shards' number grows with
+    the corpus, and no anchor fills one.  A shard takes its
     runs in document order, in batches of ``batch_suffixes`` suffixes: a batch
     gets a suffix array, is merge-scanned against the shard's ``SuffixFamily``
     and joins it.  Matches are decided on bytes, never on hashes.
@@ -145,8 +169,26 @@ def suffix_dedup(
     repeated rows keep one copy.  An empty table gives no rows; other columns
     are not read.
     """
+    blocks, sketches, letters, scan, remove = _plan(
+        docs, length, depth, cells_per_byte, batch_suffixes, block_bytes, anchor_bytes
+    )
+    return rounds.finish(blocks, sketches.unionByName(rounds.answer(letters, scan)), remove, SCHEMA)
+
+
+def _plan(
+    docs: DataFrame,
+    length: int,
+    depth: int,
+    cells_per_byte: int,
+    batch_suffixes: int,
+    block_bytes: int,
+    anchor_bytes: int,
+):
+    """Blocks, replies of the sketch, letters with the runs, and the functions of the last two steps."""
     blocks, shards, total = rounds.deal(docs, block_bytes)
     bits = rounds.sketch_bits(total // 2 + 1, cells_per_byte)
+    #: What the blocks leave out is less than half of ``anchor_bytes`` together.
+    least = max(1, anchor_bytes // (2 * shards))
 
     def runs(block):
         sizes = np.fromiter(map(len, block.texts), dtype=np.int64, count=len(block.texts))
@@ -156,12 +198,56 @@ def suffix_dedup(
         return raw, text, end - sizes, end, *_anchored_runs(text, end - sizes, end, length)
 
     def sketch(block, _):
-        return rounds.sketch_letters(runs(block)[-1], depth, bits, shards)
+        """The sketch, and the cells of its first row that hold ``least`` bytes of suffixes of distinct runs."""
+        raw, _, _, _, low, high, keys = runs(block)
+        yield from rounds.sketch_letters(keys, depth, bits, shards)
+        cells, cell = np.unique(rounds._cells(keys, 0, bits), return_inverse=True)
+        size = (high - low + 1) * length
+        many = np.bincount(cell, weights=size, minlength=len(cells)) >= least
+        held, weight = set(), np.zeros(len(cells), dtype=np.int64)
+        for i in np.flatnonzero(many[cell]).tolist():
+            piece = raw[low[i] : high[i] + length]
+            if piece not in held:
+                held.add(piece)
+                weight[cell[i]] += size[i]
+        at = rounds.shard_bounds(cells << np.uint64(64 - bits), shards)
+        for s in range(shards):
+            mine = at[s] + np.flatnonzero(weight[at[s] : at[s + 1]] >= least)
+            if len(mine):
+                yield s, HEAVY, join_parts(pack(cells[mine], increasing=True), pack(weight[mine]))
+
+    def merge(shard, rows):
+        """The merged sketch, and for each block which cells of its first row are hot."""
+        yield from rounds.merge_sketches(shard, [r for r in rows if r[1] != HEAVY])
+        heavy = [split_parts(d) for _, p, d in rows if p == HEAVY]
+        if not heavy:
+            return
+        cells, cell = np.unique(np.concatenate([unpack(c, increasing=True) for c, _ in heavy]), return_inverse=True)
+        weight = np.bincount(cell, weights=np.concatenate([unpack(w) for _, w in heavy]).astype(np.float64))
+        hot = cells[weight * 2 >= anchor_bytes]
+        for b, p, data in rows:
+            if p == 0 and len(hot):
+                mask = np.isin(unpack(data, increasing=True), hot)
+                if mask.any():
+                    yield b, HOT, pack_bits(mask)
+
+    def in_hot_cells(keys, replies):
+        cells, cell = np.unique(rounds._cells(keys, 0, bits), return_inverse=True)
+        at = rounds.shard_bounds(cells << np.uint64(64 - bits), shards)
+        hot = np.zeros(len(cells), dtype=bool)
+        for s, data in replies.get(HOT, {}).items():
+            hot[at[s] : at[s + 1]] = unpack_bits(data, at[s + 1] - at[s])
+        return hot[cell]
 
     def candidates(block, replies):
         """Runs with a repeated anchor; of those with equal bytes the first is ``own``."""
-        raw, _, begin, end, low, high, keys = found = runs(block)
+        raw, text, begin, end, low, high, keys = found = runs(block)
         hot = np.flatnonzero(rounds.estimated_repeats(keys, replies, depth, bits, shards))
+        if HOT in replies:
+            split = in_hot_cells(keys, replies)[hot]
+            low, high, keys = _single_windows(text, low[hot], high[hot], keys[hot], split, length)
+            hot = np.arange(len(low))
+            found = raw, text, begin, end, low, high, keys
         held, own = set(), np.zeros(len(hot), dtype=bool)
         for i, (a, b) in enumerate(zip(low[hot].tolist(), high[hot].tolist())):
             piece = raw[a : b + length]
@@ -257,9 +343,8 @@ def suffix_dedup(
             }
         )
 
-    sketches = rounds.answer(rounds.ask(blocks, None, sketch), rounds.merge_sketches)
-    exact = rounds.answer(rounds.ask(blocks, sketches, repeats), scan)
-    return rounds.finish(blocks, sketches.unionByName(exact), remove, SCHEMA)
+    sketches = rounds.answer(rounds.ask(blocks, None, sketch), merge)
+    return blocks, sketches, rounds.ask(blocks, sketches, repeats), scan, remove
 
 
 def _starts(low: np.ndarray, high: np.ndarray) -> np.ndarray:

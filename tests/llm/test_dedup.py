@@ -8,8 +8,9 @@ import xxhash
 
 from rectide.llm.components import components
 from rectide.llm.simhash_dedup import links, simhash_dedup
-from rectide.llm.suffix_dedup import SuffixFamily, suffix_dedup
+from rectide.llm.suffix_dedup import SuffixFamily, _plan, suffix_dedup
 from rectide.llm.window_dedup import window_dedup
+from rectide.llm.words import split_parts, unpack
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -57,6 +58,29 @@ def test_suffix_dedup(docs, rows):
         assert sorted((r[0], r[1], r[2], r[3], r[4], bytes(r[5])) for r in got) == sorted(want)
 
 
+def test_suffix_dedup_splits_a_hot_anchor(spark):
+    """One passage with other bytes around it in each document: no shard gets most of the letters."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = noise(150)
+    data = [(i, noise(120) + passage + noise(120)) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    seen, want = set(), {}
+    for doc_id, text in data:
+        want[doc_id] = sum(removed(text.encode(), 100, seen))
+    share = {}
+    for limit in (2000, 1 << 40):
+        got = {r.doc_id: r.n_removed for r in suffix_dedup(df, block_bytes=8000, anchor_bytes=limit).collect()}
+        assert got == want and sum(want.values()) >= 150 * 399
+        letters = _plan(df, 100, 1, 1, 1 << 16, 8000, limit)[2].collect()
+        by_shard = {}
+        for r in letters:
+            sizes = unpack(split_parts(r.data)[0]).astype(np.int64)
+            by_shard[r.shard] = by_shard.get(r.shard, 0) + int((sizes - 99).sum())
+        share[limit] = max(by_shard.values()) / sum(by_shard.values())
+    assert share[2000] < 0.2 < 0.4 < share[1 << 40]
+
+
 def test_null_ids_come_last(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, text), (9, text), (-4, text)], "doc_id long, text string")
