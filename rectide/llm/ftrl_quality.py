@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,9 +69,10 @@ def train(
 ) -> np.ndarray:
     """Weights (2**bits) learnt from at most ``sample_rows`` labelled documents outside fold 0.
 
-    The sample is the rows first in a seeded hash order of doc_id, which is also
+    The sample is the ids first in a seeded hash order of doc_id, which is also
     the order of training; its features are extracted by many tasks, one task
-    runs the updates over this bounded sample.
+    runs the updates over this bounded sample.  Of an id with several texts as
+    many distinct ones are kept (first by a seeded hash) as fit for every id.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
@@ -83,10 +84,16 @@ def train(
         .orderBy("place", "doc_id")
         .limit(sample_rows)
     )
+    each = max(1, sample_rows // max(1, chosen.count()))
     # at most sample_rows rows of three numbers
-    sample = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).join(F.broadcast(chosen), "doc_id")
+    texts_ = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .join(F.broadcast(chosen), "doc_id")
+        .distinct()
+    )
+    # Spark cuts to the first rows of an id before the shuffle too, so a repeated id does not fill a task
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.lit(seed), "text"), "text")
+    sample = texts_.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= each)
 
     def extract(batches):
         for batch in batches:
@@ -107,8 +114,8 @@ def train(
 
     def learn(table: pa.Table) -> pa.Table:
         model = Ftrl(1 << bits)
-        # rows sharing an id are trained in the order of their features; all count toward the bound
-        rows = table.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("slots", "ascending")]).slice(0, sample_rows)
+        # rows sharing an id are trained in the order of their features
+        rows = table.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("slots", "ascending")])
         labels_ = rows.column("label").to_pylist()
         slots, values = rows.column("slots"), rows.column("vals")
         for _ in range(epochs):

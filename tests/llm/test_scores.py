@@ -137,6 +137,23 @@ def test_quality_learns_from_training_folds_only(spark):
     assert ftrl_quality(docs.limit(0), marks).collect() == []
 
 
+def test_quality_learns_every_sampled_id(spark):
+    """An id repeated in more rows than the sample holds leaves room for the other ids."""
+    from pyspark.sql import functions as F
+
+    good = "the quiet river ran over the stones and the children read by its side".split()
+    ids = spark.range(400).filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    hot = ids.orderBy(F.xxhash64(F.lit(42), "id")).first().id
+    bad = lambda i: i % 3 == 0 and i != hot
+    rows = [(i, " ".join(["x%d |" % (j * i % 17) for j in range(20)] if bad(i) else good[i % 5 :] + good[: i % 7])) for i in range(400)]
+    rows += [(hot, " ".join(good) + f" again{i}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(not bad(i))) for i in range(400)], "doc_id long, quality int")
+    got = ftrl_quality(docs, marks, sample_rows=ids.count()).collect()
+    assert len(got) == 1400
+    assert all(r.predicted == int(not bad(r.doc_id)) for r in got)
+
+
 def test_backoff_lm(docs, rows, no_docs):
     tokens = [(r[0], WORD.findall(lower(r[1])) + ["</s>"]) for r in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
