@@ -99,7 +99,8 @@ def backoff_lm(
     their shards, hears the totals and which of them it stands for, so that the
     followers of each history are counted once, in the second round, with the
     tokens; from the answers it builds the part of the automaton that its own
-    documents reach.  Bigrams and tokens are known by 64-bit hashes.
+    documents reach.  Bigrams and tokens are known by
+    64-bit digests that are not linear in the bytes.
 
     Null or empty text: the end token alone.  Repeated rows count and are scored
     each; an empty table gives no rows; other columns are not read.

@@ -31,7 +31,7 @@ def _windows(block: rounds.Block, size: int):
     """Word table, window starts, and two 64-bit window hashes of a block."""
     table = word_table(block.texts, SPACE)
     starts = table.window_starts(size)
-    return table, starts, table.window_hash(starts, size), table.window_hash(starts, size, salt=1)
+    return table, starts, *table.window_pair(starts, size)
 
 
 def _first_of_each(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +63,8 @@ def window_dedup(
     cells, the width grown with the corpus); the block sketches are merged cell
     range by cell range, so no task holds the whole sketch and nothing is
     broadcast.  Pass 2: only windows whose smallest count is two or more are
-    grouped exactly by a 128-bit hash; estimates are never too low, so none is
-    lost.  A window that one block holds several times is sent once.
+    grouped by 128 bits, two hashes each over its own non-linear digests of the
+    words; estimates are never too low, so none is lost.  A window that one block holds several times is sent once.
 
     Null or blank text: no words, the hash of the empty string.  Null doc_id:
     after all other ids.  Rows with one doc_id are separate documents in a fixed

@@ -1,10 +1,10 @@
 """Vectorised word tables for one block of documents (NumPy, inside tasks).
 
 A block is a bounded list of UTF-8 texts.  Word boundaries are ASCII bytes in
-every contract used here, so words are found on bytes without decoding.  Words
-and windows are identified by polynomial hashes modulo 2**64 over random byte
-and word codes; callers that must be exact carry two such hashes (128 bits) or
-compare the bytes.
+every contract used here, so words are found on bytes without decoding.  A word
+is known by a 64-bit digest: the sum over its 8-byte chunks of a bijective mix
+of chunk, position and salt.  Digests of different salts are independent, so
+callers that compare words or windows by digest carry two (128 bits).
 """
 
 from __future__ import annotations
@@ -57,6 +57,34 @@ def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return (total[ends] - total[starts]) * up[starts]
 
 
+def word_digest(raw: bytes, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit digest of raw[s:e] for each (s, e), not linear in the bytes.
+
+    Every 8-byte chunk is mixed with its number and the salt before the chunks
+    are summed, so no exchange or shift of bytes cancels out as it may in a
+    polynomial hash modulo 2**64.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    padded = raw + b"\0" * 8
+    eight = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    out = np.empty(len(starts), dtype=np.uint64)
+    long = np.flatnonzero(size > 8)
+    keep = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+    out[:] = mix((eight[starts] & keep[np.minimum(size, 8)]) ^ mix(np.zeros(1, np.uint64), 2 * salt + 3))
+    if len(long):
+        chunks = (size[long] + 7) // 8 - 1  # after the first
+        first = np.cumsum(chunks) - chunks
+        word = np.repeat(np.arange(len(long)), chunks)
+        number = np.arange(len(word)) - first[word] + 1
+        at = starts[long][word] + 8 * number
+        left = np.minimum(ends[long][word] - at, 8)
+        mixed = mix((eight[at] & keep[left]) ^ mix(number.astype(np.uint64), 2 * salt + 3))
+        out[long] += np.add.reduceat(mixed, first)
+    return mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 2 * salt + 4)
+
+
 @dataclass
 class Words:
     """Words of a list of texts; word i of document d has index first[d] + i."""
@@ -84,10 +112,18 @@ class Words:
         at = np.arange(n, dtype=np.int64)
         return at[at + size <= limit]
 
+    def digest(self, salt: int) -> np.ndarray:
+        """Digests of the words, independent of ``hashes`` for any salt but 0."""
+        return word_digest(self.raw, self.starts, self.ends, salt)
+
     def window_hash(self, starts: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
         codes = mix(self.hashes, salt) if salt else self.hashes
         return mix(span_hash(codes, starts, starts + size), salt)
 
+    def window_pair(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two window hashes, each over its own digests of the words."""
+        return self.window_hash(starts, size), mix(span_hash(self.digest(1), starts, starts + size), 1)
+
 
 def word_table(texts: list[bytes], letters: np.ndarray = SPACE, lower: bool = False) -> Words:
     """Words of each text: longest runs of bytes of one class above 0 in ``letters``.
@@ -104,14 +140,7 @@ def word_table(texts: list[bytes], letters: np.ndarray = SPACE, lower: bool = Fa
     kind[1:-1] = letters[buf]
     edges = np.flatnonzero(kind[1:] != kind[:-1])
     starts, ends = edges[kind[edges + 1] > 0], edges[kind[edges] > 0]
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    cuts = np.searchsorted(starts, np.arange(0, len(buf) + _STEP, _STEP))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if a < b:
-            base = starts[a]
-            part = _CODES[buf[base : ends[b - 1]]]
-            hashes[a:b] = span_hash(part, starts[a:b] - base, ends[a:b] - base)
-    hashes = mix(hashes)
+    hashes = word_digest(raw, starts, ends)
     first = np.searchsorted(starts, np.append(doc_start, len(buf) + 1)).astype(np.int64)
     return Words(raw, doc_start, starts, ends, first, hashes)
 

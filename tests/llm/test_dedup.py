@@ -10,7 +10,7 @@ from rectide.llm.components import components
 from rectide.llm.simhash_dedup import links, simhash_dedup
 from rectide.llm.suffix_dedup import SuffixFamily, _plan, suffix_dedup
 from rectide.llm.window_dedup import window_dedup
-from rectide.llm.words import split_parts, unpack
+from rectide.llm.words import split_parts, unpack, word_table
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -187,3 +187,26 @@ def test_components_of_chains(spark):
     got = {r.node: r.root for r in components(df).collect()}
     assert got == {**{i: 0 for i in [*range(51), 100]}, 200: 200, 201: 200, 202: 200}
     assert components(df.limit(0)).collect() == []
+
+
+def complementary_words(n=1024):
+    """Two words without a common letter position whose polynomial hashes modulo 2**64 are equal."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_window_dedup_tells_thue_morse_words_apart(spark):
+    one, two = complementary_words()
+    df = spark.createDataFrame([(1, " ".join([one] * 20)), (2, " ".join([two] * 20))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in window_dedup(df).collect()} == {1: 0, 2: 0}
+
+
+def test_word_digests():
+    one, two = complementary_words()
+    texts = [one, two, "x" * 8, "x" * 9, "x" * 16, "x" * 17, "\0" * 3, "\0" * 4, "ab", "ba", "x" * 8 + "y" * 8, "y" * 8 + "x" * 8]
+    words = word_table([t.encode() for t in texts])
+    assert len(words.hashes) == len(texts)
+    assert len(set(words.hashes.tolist() + words.digest(1).tolist())) == 2 * len(texts)
+    alone = [word_table([b" " + t.encode()]) for t in texts]
+    assert [w.hashes[0] for w in alone] == words.hashes.tolist()
+    assert [w.digest(1)[0] for w in alone] == words.digest(1).tolist()

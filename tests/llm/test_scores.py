@@ -270,3 +270,12 @@ def test_license_windows(spark, docs, rows, no_docs):
         assert sorted(((r[0], r[3], r[4], (r[6], r[5])) for r in found), key=str) == want
     assert license_windows(no_docs).collect() == []
     assert all(r.n_matches == 0 for r in license_windows(docs, []).collect())
+
+
+def test_backoff_lm_tells_thue_morse_words_apart(spark):
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    train = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    df = spark.createDataFrame([(train, one), (held, two)], "doc_id long, text string")
+    assert {r.doc_id: r.n_known for r in backoff_lm(df).collect()} == {train: 2, held: 1}
