@@ -201,10 +201,45 @@ scored AS (
 SELECT doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score FROM doc JOIN scored USING (r)
 """
 
+COLLOCATIONS = f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_lower('text')}, '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents WHERE text IS NOT NULL
+),
+spoken AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM spoken GROUP BY lang),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM spoken),
+gram AS (
+  SELECT lang, g, len(g) AS size, count(*) AS f
+  FROM (SELECT lang, w[i:i + s - 1] AS g FROM placed, range(1, 6) AS t(s) WHERE i + s - 1 <= len(w))
+  GROUP BY lang, g HAVING count(*) >= 100
+),
+cut AS (
+  SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM gram WHERE size > 1) c
+  JOIN gram l ON l.lang = c.lang AND l.g = c.g[1:k]
+  JOIN gram r ON r.lang = c.lang AND r.g = c.g[k + 1:]
+  JOIN total t ON t.lang = c.lang
+),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_part AS (
+  SELECT lang, f, unnest([g[:size - 1], g[2:]]) AS g FROM gram WHERE size > 2
+),
+kept AS (
+  SELECT * FROM lowest x WHERE NOT EXISTS (
+    SELECT 1 FROM inner_part i WHERE i.lang = x.lang AND i.g = x.g AND 100 * i.f >= 100 * x.a
+  )
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+       array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 LLM_ORACLE: dict[str, str] = {
     "op1_license_scan": LICENSE_SCAN,
     "op3_decontaminate": DECONTAMINATE,
     "op4_host_rules": HOST_RULES,
     "op5_window_dedup": WINDOW_DEDUP,
     "op10_backoff_lm": BACKOFF_LM,
+    "op12_collocations": COLLOCATIONS,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rectide.llm.backoff_lm import backoff_lm
 from rectide.llm.budget_mix import budget_mix
+from rectide.llm.collocations import collocations
 from rectide.llm.decontaminate import decontaminate
 from rectide.llm.ftrl_quality import ftrl_quality
 from rectide.llm.host_rules import host_rules
@@ -66,6 +67,10 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +85,6 @@ LLM_QUERIES = {
         op8_simhash_dedup,
         op9_budget_mix,
         op10_backoff_lm,
+        op12_collocations,
     )
 }
