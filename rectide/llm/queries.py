@@ -14,6 +14,7 @@ from rectide.llm.license_scan import license_scan, license_windows
 from rectide.llm.oracle import LLM_ORACLE  # noqa: F401
 from rectide.llm.ring_shards import ring_shards
 from rectide.llm.simhash_dedup import simhash_dedup
+from rectide.llm.spelling import spelling_variants
 from rectide.llm.suffix_dedup import suffix_dedup
 from rectide.llm.window_dedup import window_dedup
 
@@ -71,6 +72,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
@@ -86,5 +91,6 @@ LLM_QUERIES = {
         op9_budget_mix,
         op10_backoff_lm,
         op12_collocations,
+        op13_spelling,
     )
 }
