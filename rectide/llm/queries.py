@@ -10,6 +10,7 @@ from rectide.llm.collocations import collocations
 from rectide.llm.decontaminate import decontaminate
 from rectide.llm.ftrl_quality import ftrl_quality
 from rectide.llm.host_rules import host_rules
+from rectide.llm.html_extract import extract_main_text
 from rectide.llm.license_scan import license_scan, license_windows
 from rectide.llm.oracle import LLM_ORACLE  # noqa: F401
 from rectide.llm.ring_shards import ring_shards
@@ -68,6 +69,10 @@ def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm(_table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ LLM_QUERIES = {
         op8_simhash_dedup,
         op9_budget_mix,
         op10_backoff_lm,
+        op11_main_text,
         op12_collocations,
         op13_spelling,
     )

@@ -22,9 +22,10 @@ _STATES = 1 << 18
 def vocabulary(docs: DataFrame, noise: int = 31, min_length: int = 7, min_count: int = 2) -> DataFrame:
     """(word, n) of the words of ``docs``: see ``spelling_variants``."""
     lowered = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    run = F.explode(F.regexp_extract_all(lowered, F.lit(r"([A-Za-zÀ-ÿ]+)"), 1)).alias("run")
+    # runs below the length are no words: passed over by the pattern, which still takes whole runs
+    run = F.explode(F.regexp_extract_all(lowered, F.lit(f"([A-Za-zÀ-ÿ]{{{min_length},}})"), 1)).alias("run")
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("doc_id")
-    runs = docs.select(doc_id, run).withColumn("size", F.length("run")).filter(F.col("size") >= min_length)
+    runs = docs.select(doc_id, run).withColumn("size", F.length("run"))
     h = F.crc32(F.concat_ws(":", "doc_id", "run").cast("binary"))
     runs = runs.withColumn("h", h).withColumn("cut", (F.col("h") % F.col("size")).cast("int"))
     word = F.when(F.col("h") % noise != 0, F.col("run")).otherwise(F.expr("concat(substring(run, 1, cut), substring(run, cut + 2))"))

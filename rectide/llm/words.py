@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are not part of a word: space and \x09-\x0D.
 SPACE = np.ones(256, dtype=bool)
@@ -205,6 +206,6 @@ def batch_slices(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:
 def text_slices(column: pa.Array, limit: int = 4 << 20):
     """Yield (begin, end, texts as bytes; null as empty) over an Arrow string column."""
     binary = column.cast(pa.binary())
-    sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(binary), 0))
+    sizes = np.array(pc.fill_null(pc.binary_length(binary), 0))
     for begin, end in batch_slices(sizes, limit):
         yield begin, end, [x or b"" for x in binary.slice(begin, end - begin).to_pylist()]
