@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -357,8 +358,24 @@ def site_style_trees(pages: DataFrame, gamma: float = 0.9) -> DataFrame:
     )
 
 
+def _site_code(host: str, path: int) -> int:
+    return _hash(f"{path} {host}")
+
+
+def _broadcast_noise(low: DataFrame, limit: int) -> np.ndarray | None:
+    """Sorted codes of (host, path), 8 bytes each, if there are at most ``limit``; else None."""
+    code = F.udf(_site_code, "long")
+    rows = low.select(code("host", "path").alias("code")).limit(limit + 1).toArrow()  # limit + 1 longs at most
+    return None if rows.num_rows > limit else np.sort(np.array(rows.column(0), dtype=np.int64))
+
+
 def extract_main_text(
-    pages: DataFrame, importance: float = 0.2, families: int = 5, gamma: float = 0.9, least: float = 0.5
+    pages: DataFrame,
+    importance: float = 0.2,
+    families: int = 5,
+    gamma: float = 0.9,
+    least: float = 0.5,
+    broadcast_paths: int = 1 << 20,
 ) -> DataFrame:
     """Main text of each page: page_id, url, text, n_chars (code points).
 
@@ -376,9 +393,10 @@ def extract_main_text(
       articles and passages are content.
 
     Each page gives the tree one row per style path and distinct block text,
-    combined before the shuffle; judgements go back to the pages by joins on
-    (host, path) and on the page, which Spark broadcasts if they are small and
-    splits if a host is hot.
+    combined before the shuffle.  Up to ``broadcast_paths`` low branches go to the
+    tasks as a sorted array of 8 bytes each, and the pages are not shuffled; more
+    go back by joins on (host, path) and on the page, which Spark splits where a
+    host is hot.  Both ways give the same texts.
 
     Null or empty html: no text.  Null or relative url: no host, marks alone.
     Repeated rows give a row each; an empty table gives none; other columns are
@@ -420,26 +438,44 @@ def extract_main_text(
                 names=["k1", "k2", "host", "family", "paths", "feats"],
             )
 
+    def rendered(batch, noise_of):
+        out = []
+        for i, html in _pages(batch, "html"):
+            page, dropped = structure(html)
+            out.append(page_text(page, dropped, noise_of(i, page), least))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
+            names=["page_id", "url", "text", "n_chars"],
+        )
+
     def texts(batches):
         for batch in batches:
             noise = batch.column("noise").to_pylist()
-            out = [page_text(*structure(html), set(noise[i] or ()), least) for i, html in _pages(batch, "html")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("page_id"),
-                    batch.column("url"),
-                    pa.array(out, pa.string()),
-                    pa.array([len(t) for t in out], pa.int64()),
-                ],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+            yield rendered(batch, lambda i, _: set(noise[i] or ()))
+
+    def texts_by_codes(batches):
+        codes = held.value
+
+        def noise_of(host, page):
+            paths = sorted(set(page.path)) if host is not None and len(codes) else []
+            own = np.array([_site_code(host, p) for p in paths], dtype=np.int64)
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            return {p for p, found in zip(paths, codes[at] == own) if found} if paths else set()
+
+        for batch in batches:
+            hosts = [host_of(u) for u in batch.column("url").to_pylist()]
+            yield rendered(batch, lambda i, page: noise_of(hosts[i], page))
 
     shaped = cut_lineage(keyed.mapInArrow(shapes, _SHAPE))
-    low = (
+    low = cut_lineage(
         site_style_trees(shaped, gamma)
         .filter((F.col("families") >= families) & (F.col("importance") < importance))
         .select("host", "path")
     )
+    codes = _broadcast_noise(low, broadcast_paths)
+    if codes is not None:
+        held = pages.sparkSession.sparkContext.broadcast(codes)
+        return slim.mapInArrow(texts_by_codes, OUT)
     noise = (
         shaped.filter("host IS NOT NULL").select("k1", "k2", "host", F.explode("paths.path").alias("path"))
         .join(low, ["host", "path"]).groupBy("k1", "k2").agg(F.collect_set("path").alias("noise"))

@@ -78,7 +78,11 @@ def site():
 
 def test_extract_main_text(spark):
     df = spark.createDataFrame(site(), SCHEMA).repartition(4)
-    got = sorted((r.page_id if r.page_id is not None else -1, r.text) for r in extract_main_text(df).collect())
+    got, joined = (
+        sorted((r.page_id if r.page_id is not None else -1, r.text) for r in extract_main_text(df, **options).collect())
+        for options in ({}, {"broadcast_paths": 0})
+    )
+    assert got == joined
     letter = "\n\nRead our letter, sent to you each week."
     shared = "\n\nA passage that many articles of this host quote in the same words, every one of them."
     want = {i: text_of(i) + (shared if i % 2 else "") for i in range(12)}
