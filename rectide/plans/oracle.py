@@ -124,6 +124,10 @@ cf_recs AS (
 """
 
 
+#: No cut of histories or neighbour lists.
+ITEMCF_ALL = ITEMCF.replace("WHERE r <= 100", "").replace("WHERE nrank <= 200", "")
+
+
 def with_(*fragments: str) -> str:
     return "WITH " + ",".join(f.strip() for f in fragments) + "\n"
 
@@ -560,6 +564,10 @@ FROM cands""",
     "itemcf_neighbors": with_(WATCH, ITEMCF) + """
 SELECT item_id, neighbor_id, round(sim, 6) AS sim, CAST(nrank AS BIGINT) AS nrank FROM cf_nbrs""",
     "itemcf_topk": with_(WATCH, ITEMCF) + "SELECT user_id, CAST(rank AS BIGINT) AS rank, item_id, round(score, 6) AS score FROM cf_recs",
+    "itemcf_neighbors_top": with_(WATCH, ITEMCF_ALL) + """
+SELECT item_id, neighbor_id, round(sim, 6) AS sim, CAST(nrank AS BIGINT) AS nrank FROM cf_nbrs WHERE nrank <= 50""",
+    "itemcf_topk_all": with_(WATCH, ITEMCF_ALL) + "SELECT user_id, CAST(rank AS BIGINT) AS rank, item_id, round(score, 6) AS score FROM cf_recs",
+    "eval_itemcf_all": segmented(ITEMCF_ALL.strip() + ",\nrecs AS (SELECT user_id, item_id, rank FROM cf_recs)"),
     "eval_itemcf": segmented(ITEMCF.strip() + ",\nrecs AS (SELECT user_id, item_id, rank FROM cf_recs)"),
     "item_features": with_(ITEMS) + """
 SELECT item_id, title, body, topic, author_id, round(duration, 6) AS duration, round(quality_score, 6) AS quality_score,

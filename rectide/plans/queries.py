@@ -158,6 +158,27 @@ def q_itemcf_neighbors_all(spark, sf):
     return nbrs.select("item_id", "neighbor_id", r6("sim").alias("sim"), _long("nrank").alias("nrank"))
 
 
+def q_itemcf_neighbors_top(spark, sf):
+    """Whole histories, the 50 best neighbours of each item."""
+    nbrs, _ = itemcf.fit_itemcf(watch_bundle(spark, sf).train, None, 50)
+    return nbrs.select("item_id", "neighbor_id", r6("sim").alias("sim"), _long("nrank").alias("nrank"))
+
+
+def _cf_recs_all(spark, sf):
+    b = watch_bundle(spark, sf)
+    nbrs, pop = itemcf.fit_itemcf(b.train)
+    return itemcf.itemcf_recommendations(nbrs, pop, b.histories, b.candidates, K_EVAL)
+
+
+def q_itemcf_topk_all(spark, sf):
+    """No cut of histories or neighbour lists."""
+    return _cf_recs_all(spark, sf).select("user_id", _long("rank").alias("rank"), "item_id", r6("score").alias("score"))
+
+
+def q_eval_itemcf_all(spark, sf):
+    return _segmented(spark, sf, _cf_recs_all(spark, sf))
+
+
 def q_itemcf_topk(spark, sf):
     return _cf_recs(spark, sf).select("user_id", _long("rank").alias("rank"), "item_id", r6("score").alias("score"))
 
@@ -475,6 +496,9 @@ REGISTRY: dict[str, Query] = {
     "itemcf_neighbors": q_itemcf_neighbors,
     "itemcf_topk": q_itemcf_topk,
     "eval_itemcf": q_eval_itemcf,
+    "itemcf_neighbors_top": q_itemcf_neighbors_top,
+    "itemcf_topk_all": q_itemcf_topk_all,
+    "eval_itemcf_all": q_eval_itemcf_all,
     "item_features": q_item_features,
     "user_features": q_user_features,
     "popularity_buckets": q_popularity_buckets,
