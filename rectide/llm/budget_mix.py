@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rectide.llm.keys import row_key
 from rectide.session import cut_lineage
 
 #: Largest remaining budget that the exact dynamic programme takes over (words),
@@ -105,10 +106,10 @@ def budget_mix(docs: DataFrame, repeats: int = 3, seed: int = 42, dp_words: int
     ``fit_budget`` decides on the counts per exact length (one row per source
     and length), a seeded hash decides which documents of a length.
 
-    Gives doc_id, row_key (hash of id, text and source), size (words, runs other than space and \\x09-\\x0D; null text:
+    Gives doc_id, row_key (digest of id, text and source), size (words, runs other than space and \\x09-\\x0D; null text:
     0), source_size, target, copies, taken (copies * size).  A null source is a
     source, the last one.  Empty texts take no words and have no copies.  The
-    choice within one length orders by hash and doc_id in hash bins, so a length
+    choice within one length orders by a hash of the whole row in hash bins, so a length
     that a third of all documents share is split; repeated rows are separate
     documents.  An empty table gives no rows; other columns are not read.
     """
@@ -118,9 +119,9 @@ def budget_mix(docs: DataFrame, repeats: int = 3, seed: int = 42, dp_words: int
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             size.cast("long").alias("size"),
-            F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).alias("row_key"),
+            row_key("doc_id", "text", "source").alias("row_key"),
         )
-        .withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "source"))
+        .withColumn("order", F.xxhash64(F.lit(seed), "row_key"))
         .withColumn("bin", F.shiftrightunsigned("order", 64 - BIN_BITS).cast("int"))
     )
     targets = source_targets(rows, repeats).withColumn(
@@ -161,7 +162,7 @@ def budget_mix(docs: DataFrame, repeats: int = 3, seed: int = 42, dp_words: int
         )
         .filter("quota > 0")
     )
-    in_bin = Window.partitionBy("source", "size", "bin").orderBy("order", "doc_id")
+    in_bin = Window.partitionBy("source", "size", "bin").orderBy("order", "row_key")
     named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole")
     return (
         rows.withColumn("place", F.row_number().over(in_bin))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rectide.llm.keys import row_key
 from rectide.llm.words import ALNUM, Words, mix, text_slices, word_table
 from rectide.session import cut_lineage
 
@@ -147,7 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     tasks hold only a bit set of fixed size for the tokens; the tokens
     themselves are joined.
 
-    Gives doc_id, row_key (hash of id and text), n_words, n_hit, n_items (items
+    Gives doc_id, row_key (digest of id and text), n_words, n_hit, n_items (items
     with occurring windows), items_sha256 (of their ids as strings, sorted,
     comma-joined; none: of the empty string), contaminated.  Null, empty and
     wordless texts have no words; items without words have no windows; a null
@@ -187,11 +188,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    ).withColumn("row_key", row_key("doc_id", "text"))
     found = cut_lineage(
         slim.mapInArrow(
             find,
-            "doc_id long, row_key long, n_words long, "
+            "doc_id long, row_key string, n_words long, "
             "hits array<struct<code: long, size: int, at: int, low: int, near: array<string>>>",
         ).withColumn("row", F.monotonically_increasing_id())
     )

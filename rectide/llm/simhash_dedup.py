@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rectide.llm.components import components
+from rectide.llm.keys import row_key
 from rectide.llm.words import text_slices
 from rectide.session import cut_lineage
 
@@ -40,7 +41,7 @@ def simhash(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, row_key, fp): fp is the fingerprint as a signed long, row_key a hash of id and text."""
+    """(doc_id, row_key, fp): fp is the fingerprint as a signed long, row_key a digest of id and text."""
 
     def compute(batches):
         for batch in batches:
@@ -54,8 +55,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return slim.mapInArrow(compute, "doc_id long, row_key long, fp long")
+    ).withColumn("row_key", row_key("doc_id", "text"))
+    return slim.mapInArrow(compute, "doc_id long, row_key string, fp long")
 
 
 def _flips(bits: int, radius: int, shift: int = 0) -> list[int]:
@@ -167,7 +168,7 @@ def simhash_dedup(
     fewer words make one shingle.  Links: see ``links``; only distinct
     fingerprints take part, so copies cost one row.
 
-    Gives doc_id, row_key (hash of id and text), fingerprint (16 hex digits),
+    Gives doc_id, row_key (digest of id and text), fingerprint (16 hex digits),
     component_id (smallest doc_id of the component; null ids are passed over)
     and root (smallest fingerprint of the component, as a signed long).
     Null, empty and blank texts have fingerprint zero and are linked like any

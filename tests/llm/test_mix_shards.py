@@ -158,3 +158,65 @@ def test_pipeline_stages(spark, tmp_path_factory):
     assert kept["shard"].count() == kept["mix"].count() == corpus_pipeline.run(spark, sf_dir).count()
     copies = Counter(r.doc_id for r in kept["mix"].collect())
     assert max(copies.values()) <= 3
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, row_key string, size int, _row_key string"
+
+
+def edge_rows():
+    rows = [
+        (1, "same words here", "en", "a", 15, "x", 1, "y"),
+        (1, "same words here", "de", "a", 15, "x", 1, "y"),  # equal to the mix, other columns differ
+        (1, None, "en", "a", 0, "x", 1, "y"),
+        (None, "1", "en", "a", 1, "x", 1, "y"),
+        (2, "", "en", None, 0, "x", 1, "y"),
+        (3, "text of a null source", "en", None, 21, None, None, None),
+    ]
+    return rows + [(4, "a row that is repeated", "fr", "b", 22, "x", 1, "y")] * 5 + [(4, "the same id", "fr", "b", 11, "x", 1, "y")]
+
+
+def test_mix_keeps_every_row_and_deals_copies_evenly(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame(edge_rows(), EDGES).repartition(3)
+    out = corpus_pipeline.mix(spark, df, "")
+    assert out.columns == df.columns
+    got = Counter(map(tuple, out.collect()))
+    taken = Counter()
+    for r in budget_mix(df).collect():
+        taken[r.doc_id, r.size] += r.copies
+    by_size = Counter()
+    for row, n in got.items():
+        by_size[row[0], len(WORD.findall(row[1] or ""))] += n
+    assert by_size == +taken
+    assert {r[2] for r in got if r[0] == 1 and r[1]} == {"en", "de"}
+    pair = [n for r, n in got.items() if r[0] == 1 and r[1]]
+    assert max(pair) - min(pair) <= 1
+    assert sorted(map(tuple, corpus_pipeline.mix(spark, df.repartition(5), "").collect()), key=str) == sorted(got.elements(), key=str)
+
+
+def test_pipeline_stages_on_edge_cases(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame(edge_rows(), EDGES)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "/root/testdata/sf0.001")
+        assert stage(spark, df.limit(0), "/root/testdata/sf0.001").collect() == []
+        kept = out.collect()
+        if name == "shard":
+            assert len(kept) == df.count()
+            continue
+        assert out.columns == df.columns
+        if name == "near_duplicates":
+            ids = Counter((r.doc_id, r.text) for r in kept)
+            assert max(ids.values()) == 1 and (4, "the same id") in ids and (None, "1") in ids
+        if name == "benchmark_free":
+            assert Counter(map(tuple, kept)) == Counter(edge_rows())
+
+
+def test_row_keys(spark):
+    from rectide.llm.keys import row_key
+
+    rows = [(1, None, "a"), (1, "a", None), (1, "", "a"), (None, "1", "a"), (11, "a", ""), (1, "1:a", ""), (1, "a1:", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert len({r[0] for r in df.select(row_key("doc_id", "text", "source")).collect()}) == len(rows)
