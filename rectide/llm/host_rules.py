@@ -67,7 +67,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
 
 def host_rates(documents: DataFrame) -> DataFrame:
-    """(host, host_docs, host_failed, host_rate, host_shrunk) from rows (source, base_failed).
+    """(host, host_docs, host_failed, host_rate, host_shrunk, prior_mean, prior_sd) from rows (source, base_failed).
 
     The prior Beta(a, b) has the mean of the hosts' rates and their variance
     between hosts, by the method of moments; with fewer than two hosts, or no
@@ -103,11 +103,17 @@ def host_rates(documents: DataFrame) -> DataFrame:
         ((F.col("host_failed") + F.col("m") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))).alias(
             "host_shrunk"
         ),
+        F.col("m").alias("prior_mean"),
+        F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("strength") + 1)).alias("prior_sd"),
     )
 
 
 def host_rules(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.5
+    docs: DataFrame,
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    max_host_rate: float | None = None,
+    deviations: float = 3.0,
 ) -> DataFrame:
     """Judge documents by their own counts and by their host's shrunk failure rate.
 
@@ -115,7 +121,10 @@ def host_rules(
     fewer than ``min_words`` words, or more than ``max_repeat_percent`` percent
     of the words in 3-word windows that the text holds twice or more.  Hosts
     whose shrunk failure rate (``host_rates``) exceeds ``max_host_rate`` lose all
-    their documents; the others keep those that did not fail themselves.
+    their documents; the others keep those that did not fail themselves.  Without
+    a ``max_host_rate`` the limit comes from the fitted prior: its mean and
+    ``deviations`` times its standard deviation, so that a host is judged against
+    what hosts of this corpus are like.
 
     Gives doc_id, n_words, word_chars (code points), n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, host, host_shrunk.  Null or empty text:
@@ -128,8 +137,9 @@ def host_rules(
     )
     counted = cut_lineage(document_counts(docs).withColumn("base_failed", failed))
     hosts = host_rates(counted)
+    limit = F.col("prior_mean") + deviations * F.col("prior_sd") if max_host_rate is None else F.lit(max_host_rate)
     return counted.join(
-        hosts.select("host", "host_shrunk"), F.col("source").eqNullSafe(F.col("host"))
+        hosts.select("host", "host_shrunk", limit.alias("host_limit")), F.col("source").eqNullSafe(F.col("host"))
     ).select(
         "doc_id",
         "n_words",
@@ -138,7 +148,7 @@ def host_rules(
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & (F.col("host_shrunk") <= max_host_rate)).alias("kept"),
+        (~F.col("base_failed") & (F.col("host_shrunk") <= F.col("host_limit"))).alias("kept"),
         F.col("source").alias("host"),
         "host_shrunk",
     )

@@ -136,7 +136,8 @@ prior AS (
   FROM moments
 )
 SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed,
-       NOT j.base_failed AND (h.failed + p.m * p.strength) / (h.docs + p.strength) <= 0.5 AS kept
+       NOT j.base_failed AND (h.failed + p.m * p.strength) / (h.docs + p.strength)
+         <= p.m + 3 * sqrt(p.m * (1 - p.m) / (p.strength + 1)) AS kept
 FROM judged j JOIN host h ON j.source IS NOT DISTINCT FROM h.source CROSS JOIN prior p
 """
 

@@ -112,6 +112,21 @@ def test_host_rules(docs, rows, no_docs):
     assert host_rules(no_docs).collect() == []
 
 
+def test_host_limit_comes_from_the_prior(spark):
+    good, bad = "w%d " * 60, "too short"
+    rows = []
+    for host in range(20):
+        for i in range(30):
+            fails = i < 27 if host == 7 else i == 0  # one host fails nearly always, the others now and then
+            rows.append((host * 100 + i, bad if fails else good % tuple(range(60)), f"h{host}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = host_rules(df).collect()
+    assert all(r.kept == (not r.base_failed and r.host != "h7") for r in got)
+    assert sum(not r.kept and not r.base_failed for r in got) == 3
+    alike = host_rules(df.filter("source <> 'h7'")).collect()
+    assert all(r.kept == (not r.base_failed) for r in alike)
+
+
 def test_quality_learns_from_training_folds_only(spark):
     good = "the quiet river ran over the stones and the children read by its side".split()
     rows, labels = [], []
