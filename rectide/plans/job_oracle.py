@@ -140,6 +140,8 @@ chosen AS (
 """
 
 JOB_ORACLE: dict[str, str] = {
+    "tfidf_weights_all": with_(TFIDF.replace("ORDER BY count(*) DESC, term LIMIT 2048", "")) + """
+SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""",
     "tfidf_weights": with_(TFIDF) + """
 SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""",
     "rerank": with_(WATCH, POP.replace("rank <= 20", "rank <= 30"), CONTENT, GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + """

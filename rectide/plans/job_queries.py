@@ -262,7 +262,14 @@ def q_tfidf_weights(spark, sf):
     return out.withColumn("weight", F.round("weight", 6))
 
 
+def q_tfidf_weights_all(spark, sf):
+    """M1, P16 on every term, without stop words."""
+    out = semantic_id.tfidf_weights_long(testdata.text_items(spark, sf), stop_words=[])
+    return out.withColumn("weight", F.round("weight", 6))
+
+
 JOBS = {
+    "tfidf_weights_all": q_tfidf_weights_all,
     "tfidf_weights": q_tfidf_weights,
     "csv_bundle_read": q_csv_bundle,
     "csv_captions_read": q_csv_captions,
