@@ -9,11 +9,17 @@ fit on whole sequences, history = train part, Recall/NDCG@5,10.
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rectide.operators import generative, itemcf, metrics, popular, protocol, rerank, vector
 from rectide.plans.prepare import Bundle
+from rectide.session import cut_lineage
+from rectide.sources.files import metric_rows
+from rectide.sources.metric_store import store_metrics
 
 WATCH_METHODS = ("popular", "itemcf", "ann")
 #: Histories and neighbour lists of the co-occurrence method (arguments of ``fit_itemcf``).
@@ -48,7 +54,7 @@ def evaluate_watch(
     check_protocol: bool = True,
 ) -> DataFrame:
     k = max(k_values)
-    recs = recommend_watch(method, b, k, vectors)
+    recs = cut_lineage(recommend_watch(method, b, k, vectors))  # read by the checks and the metrics
     if check_protocol:
         protocol.assert_clean(protocol.long_sequence_violations(b.seq, b.candidates))
         protocol.assert_clean(
@@ -57,6 +63,35 @@ def evaluate_watch(
     return metrics.segmented_metrics(recs, b.targets, items, b.candidates.select("item_id"), k_values)
 
 
+def store_watch_evaluation(
+    methods: Sequence[str],
+    b: Bundle,
+    items: DataFrame | None,
+    path: str,
+    run_ts: dt.datetime | None = None,
+    k_values=(10, 20),
+    vectors: DataFrame | None = None,
+) -> None:
+    """Evaluate the methods one after the other and merge their metrics into the store at ``path``."""
+    for method in methods:
+        store_metrics(metric_rows(evaluate_watch(method, b, items, k_values, vectors), method, run_ts), path)
+
+
+def store_content_evaluation(
+    methods: Sequence[str],
+    b: Bundle,
+    items: DataFrame,
+    path: str,
+    run_ts: dt.datetime | None = None,
+    k_values=(5, 10),
+    mapping: DataFrame | None = None,
+    now: str | None = None,
+) -> None:
+    """As ``store_watch_evaluation`` on the content path."""
+    for method in methods:
+        store_metrics(metric_rows(evaluate_content(method, b, items, k_values, mapping, now), method, run_ts), path)
+
+
 def recommend_content(
     method: str,
     b: Bundle,

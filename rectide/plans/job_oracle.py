@@ -161,6 +161,10 @@ SELECT 'sequential_next_item' AS protocol_name, 'full_sort' AS ranking_mode, cou
     "vectors_read": with_(VEC) + "SELECT item_id, CAST(d - 1 AS BIGINT) AS d, round(x, 6) AS x FROM vexp",
     "retriever_read": ORACLE["sid_transitions"],
     "metric_history": with_(CONTENT, CPOP, CMETRICS) + "SELECT 'popular' AS method, 'all' AS segment, metric, value FROM cmetrics",
+    "evaluation_store": f"""
+SELECT 'popular' AS method, segment, metric, value FROM ({ORACLE["eval_popular"]})
+UNION ALL SELECT 'itemcf', segment, metric, value FROM ({ORACLE["eval_itemcf"]})""",
+    "content_evaluation_store": with_(CONTENT, CPOP, CMETRICS) + "SELECT 'popular' AS method, 'all' AS segment, metric, value FROM cmetrics",
     "run_counters": with_(WATCH) + """
 SELECT (SELECT count(*) FROM wm) AS interactions, (SELECT count(DISTINCT user_id) FROM seq) AS sequences, (SELECT count(*) FROM cands) AS candidates,
        (SELECT count(DISTINCT p_partkey) FROM part) AS items, (SELECT count(DISTINCT c_custkey) FROM customer) AS users""",

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rectide.operators import generative, protocol, quality, semantic_id, sequences
-from rectide.plans import batch
-from rectide.plans.prepare import run_counters, watch_bundle
+from rectide.plans import batch, evaluate
+from rectide.plans.prepare import content_bundle, run_counters, watch_bundle, watch_items
 from rectide.session import ensure_checkpoint_dir
 from rectide.sources import files, testdata
+from rectide.sources.metric_store import read_metric_store, store_metrics
 
 
 def _folder(spark: SparkSession) -> str:
@@ -131,6 +132,29 @@ def q_metric_history(spark, sf):
     return latest.select(F.col("method").cast("string").alias("method"), "segment", "metric", F.round("value", 6).alias("value"))
 
 
+def _stored(spark, path):
+    return read_metric_store(spark, path).select("method", "segment", "metric", F.round("value", 6).alias("value"))
+
+
+def q_evaluation_store(spark, sf):
+    """Both co-occurrence and popularity evaluated and stored, popularity twice and once as an older run."""
+    b, items, path = watch_bundle(spark, sf), watch_items(spark, sf), f"{_folder(spark)}/metrics"
+    evaluate.store_watch_evaluation(["popular", "itemcf"], b, items, path, dt.datetime(2026, 2, 1))
+    evaluate.store_watch_evaluation(["popular"], b, items, path, dt.datetime(2026, 2, 2))
+    older = _stored(spark, path).withColumn("value", -F.col("value"))
+    store_metrics(older.withColumn("run_ts", F.lit(dt.datetime(2026, 1, 1))), path)
+    return _stored(spark, path)
+
+
+def q_content_evaluation_store(spark, sf):
+    """M14, S14, S15 on the content path."""
+    b, path = content_bundle(spark, sf), f"{_folder(spark)}/metrics"
+    items = testdata.content_items(spark, sf)
+    for day in (1, 2):
+        evaluate.store_content_evaluation(["popular"], b, items, path, dt.datetime(2026, 2, day))
+    return _stored(spark, path)
+
+
 def q_run_counters(spark, sf):
     """A28."""
     b = watch_bundle(spark, sf)
@@ -279,6 +303,8 @@ JOBS = {
     "vectors_read": q_vectors_read,
     "retriever_read": q_retriever_read,
     "metric_history": q_metric_history,
+    "evaluation_store": q_evaluation_store,
+    "content_evaluation_store": q_content_evaluation_store,
     "run_counters": q_run_counters,
     "broken_data_violations": q_broken_data_violations,
     "broken_protocol_violations": q_broken_protocol_violations,
