@@ -28,10 +28,10 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 
 def _windows(block: rounds.Block, size: int):
-    """Word table, window starts, and two 64-bit window hashes of a block."""
+    """Word table, window starts and their 64-bit hashes of a block."""
     table = word_table(block.texts, SPACE)
     starts = table.window_starts(size)
-    return table, starts, *table.window_pair(starts, size)
+    return table, starts, table.window_hash(starts, size)
 
 
 def _first_of_each(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +75,15 @@ def window_dedup(
     bits = rounds.sketch_bits(total // 4 + 1, cells_per_word)
 
     def sketch(block, _):
-        _, _, one, _ = _windows(block, window)
+        _, _, one = _windows(block, window)
         return rounds.sketch_letters(one, depth, bits, shards)
 
     def groups(block, replies):
         """Estimated repeats of a block: (indexes of first occurrences, sorted by hash; ...)."""
-        table, starts, one, two = _windows(block, window)
+        table, starts, one = _windows(block, window)
         hot = np.flatnonzero(rounds.estimated_repeats(one, replies, depth, bits, shards))
-        first, number = _first_of_each(one[hot], two[hot])
+        two = table.second_hash(starts[hot], window)
+        first, number = _first_of_each(one[hot], two)
         return table, starts, one, two, hot, first, number
 
     def repeats(block, replies):
@@ -94,7 +95,7 @@ def window_dedup(
             a, b = bounds[s], bounds[s + 1]
             if a < b:
                 yield s, 0, join_parts(
-                    pack(one[at[a:b]], True), pack(two[at[a:b]]), pack(owner[a:b].view(np.uint64))
+                    pack(one[at[a:b]], True), pack(two[first[a:b]]), pack(owner[a:b].view(np.uint64))
                 )
 
     def group_exactly(_shard, rows):

@@ -121,9 +121,9 @@ class Words:
         codes = mix(self.hashes, salt) if salt else self.hashes
         return mix(span_hash(codes, starts, starts + size), salt)
 
-    def window_pair(self, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two window hashes, each over its own digests of the words."""
-        return self.window_hash(starts, size), mix(span_hash(self.digest(1), starts, starts + size), 1)
+    def second_hash(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """Window hashes over other digests of the words than those of ``window_hash``."""
+        return mix(span_hash(self.digest(1), starts, starts + size), 1)
 
 
 def word_table(texts: list[bytes], letters: np.ndarray = SPACE, lower: bool = False) -> Words:
