@@ -34,15 +34,29 @@ def _windows(block: rounds.Block, size: int):
     return table, starts, table.window_hash(starts, size)
 
 
+def _grouped(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by pair, in no order within a pair; places in it at which a new pair begins).
+
+    Sorted by the first hash alone, unless it is equal for different second ones.
+    """
+    order = np.argsort(one)
+    a, b = one[order], two[order]
+    same = a[1:] == a[:-1]
+    if np.any(same & (b[1:] != b[:-1])):
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order, np.flatnonzero(np.concatenate([[True], ~same])) if len(one) else np.zeros(0, dtype=np.int64)
+
+
 def _first_of_each(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first occurrence of each distinct pair, sorted by pair; pair number of each)."""
-    order = np.lexsort((np.arange(len(one)), two, one))
-    a, b = one[order], two[order]
-    new = np.ones(len(one), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    order, begin = _grouped(one, two)
+    if not len(one):
+        return order, order
     number = np.empty(len(one), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number
+    number[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(one))))
+    return np.minimum.reduceat(order, begin), number
 
 
 def window_dedup(
@@ -105,9 +119,12 @@ def window_dedup(
         owner = np.concatenate([unpack(p[2]).view(np.int64) for p in parts])
         sizes = [int.from_bytes(p[0][:8], "little") for p in parts]
         blk = np.repeat(np.arange(len(blks)), sizes)
-        order = np.lexsort((blk, owner, two, one))
-        late = np.zeros(len(one), dtype=bool)
-        late[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        order, begin = _grouped(one, two)
+        size = np.diff(np.append(begin, len(one)))
+        least = np.repeat(np.minimum.reduceat(owner[order], begin), size)  # the earliest owner of each pair,
+        rank = np.where(owner[order] == least, blk[order], len(blks))
+        late = np.empty(len(one), dtype=bool)
+        late[order] = rank != np.repeat(np.minimum.reduceat(rank, begin), size)  # and its first block
         for b, piece in zip(blks, np.split(late, np.cumsum(sizes)[:-1])):
             yield b, EXACT, pack_bits(piece)
 

@@ -210,3 +210,17 @@ def test_word_digests():
     alone = [word_table([b" " + t.encode()]) for t in texts]
     assert [w.hashes[0] for w in alone] == words.hashes.tolist()
     assert [w.digest(1)[0] for w in alone] == words.digest(1).tolist()
+
+
+def test_pairs_with_equal_first_hashes():
+    from rectide.llm.window_dedup import _first_of_each
+
+    rng = np.random.default_rng(5)
+    for values in (3, 1000):
+        one = rng.integers(0, values, 300).astype(np.uint64)
+        for two in (one * np.uint64(7), rng.integers(0, 2, 300).astype(np.uint64)):
+            first, number = _first_of_each(one, two)
+            pairs = list(zip(one.tolist(), two.tolist()))
+            assert [pairs[i] for i in first] == sorted(set(pairs))
+            assert first.tolist() == [pairs.index(p) for p in sorted(set(pairs))]
+            assert [pairs[first[k]] for k in number] == pairs
