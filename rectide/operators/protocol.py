@@ -9,12 +9,12 @@ raises on any non-zero count.
 from __future__ import annotations
 
 import json
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rectide.operators.ordering import with_scalars
+from rectide.operators.rules import KNOWN, REPEATED, ROWS, UNKNOWN_ROWS, Rule, rule_report
 
 # Protocol name, ranking mode, schema version and the field
 # names the sequential protocol requires.
@@ -74,14 +74,12 @@ def manifest_from_json(spark: SparkSession, payload: str) -> tuple[DataFrame, Da
     return manifest, cands
 
 
-def _count(df: DataFrame, rule: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-
-
-def _flag_count(df: DataFrame, rule: str, cond) -> DataFrame:
-    return df.agg(F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias("violations")).select(
-        F.lit(rule).alias("rule"), F.coalesce("violations", F.lit(0).cast("long")).alias("violations")
-    )
+def _totals(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """(rule, violations): all counts of a table in one aggregate, a row for each."""
+    names = list(counts)
+    one = df.agg(*[counts[r].cast("long").alias(f"c{i}") for i, r in enumerate(names)])
+    pairs = [F.struct(F.lit(r).alias("rule"), F.coalesce(f"c{i}", F.lit(0).cast("long")).alias("violations")) for i, r in enumerate(names)]
+    return one.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
 def manifest_violations(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -99,11 +97,11 @@ def manifest_violations(manifest: DataFrame, candidates: DataFrame) -> DataFrame
         "manifest.count_mismatch": F.col("candidate_count") != F.col("rows"),
         **{f"manifest.{k}": F.col(k) != v for k, v in REQUIRED_FIELDS.items()},
     }
-    return reduce(DataFrame.unionByName, [_flag_count(m, r, c) for r, c in checks.items()])
+    return _totals(m, {r: F.count_if(c) for r, c in checks.items()})
 
 
 def sequence_violations(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """V11 on list-form sequences (as read from JSON lines): per-rule counts."""
+    """V11 on list-form sequences (as read from JSON lines): per-rule counts, one scan of either table."""
     items = F.coalesce(F.col("item_ids"), F.array().cast("array<string>"))
     n = F.size(items)
     head = lambda m: F.slice(items, 1, F.greatest(n - m, F.lit(0)))
@@ -123,64 +121,93 @@ def sequence_violations(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     for field in ("actions", "action_weights", "event_weights", "timestamps", "time_deltas"):
         if field in rows.columns:
             checks[f"sequence.short_{field}"] = F.col(field).isNotNull() & (F.size(field) < train_len)
-    per_rule = [_flag_count(rows, r, c) for r, c in checks.items()]
-    dups = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    per_rule.append(_count(dups, "sequence.duplicate_user"))
-    unreachable = rows.select(F.col("test_item_id").cast("string").alias("item_id")).where("item_id IS NOT NULL AND item_id <> ''").join(
-        candidates.select("item_id"), "item_id", "left_anti"
-    )
-    per_rule.append(_count(unreachable, "sequence.unreachable_target"))
-    return reduce(DataFrame.unionByName, per_rule)
+    target, reach = F.col("test_item_id").cast("string"), "sequence.unreachable_target"
+    rules = [Rule(name, ROWS, F.col("user_id"), c) for name, c in checks.items()]
+    rules.append(Rule("sequence.duplicate_user", REPEATED, F.col("user_id")))
+    rules.append(Rule(reach, UNKNOWN_ROWS, target, target != ""))
+    return rule_report([(rows, rules), (candidates, [Rule(reach, KNOWN, F.col("item_id"))])])
 
 
 def long_sequence_violations(seq: DataFrame, candidates: DataFrame) -> DataFrame:
     """V11 on the canonical long table: positions 1..n without gaps, n >= 2,
-    unique (user, pos), test target (pos = n) inside the candidate universe."""
-    per_user = seq.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("pos").alias("dpos"),
+    unique (user, pos), test target (pos = n) inside the candidate universe.
+
+    Every row stands for its user, a last one for its target too; both are summed
+    by (kind, value) in one scan of either table."""
+    pos, n = F.col("pos").cast("long"), F.col("n").cast("long")
+    absent, mark = F.lit(None).cast("long"), F.lit(1).cast("long")
+
+    def entry(kind: str, value: str, pos: Column, n: Column, known: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), F.col(value).cast("string").alias("value"), pos.alias("pos"), n.alias("n"), known.alias("known")
+        )
+
+    last = F.when(pos == n, entry("target", "item_id", absent, absent, absent))
+    rows = seq.select(F.explode(F.array_compact(F.array(entry("user", "user_id", pos, n, absent), last))).alias("e")).select("e.*")
+    known = candidates.where(F.col("item_id").isNotNull()).select(entry("target", "item_id", absent, absent, mark).alias("e")).select("e.*")
+    per = rows.unionByName(known).groupBy("kind", "value").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("known").alias("known"), F.countDistinct("pos").alias("dpos"),
         F.min("pos").alias("pmin"), F.max("pos").alias("pmax"), F.max("n").alias("nmax"), F.min("n").alias("nmin"),
     )
-    checks = {
-        "sequence.missing_user_id": F.col("user_id").isNull() | (F.col("user_id") == ""),
-        "sequence.incomplete_split": F.col("nmax") < 2,
-        "sequence.position_gap": (F.col("pmin") != 1) | (F.col("pmax") != F.col("nmax")) | (F.col("dpos") != F.col("rows")) | (F.col("nmin") != F.col("nmax")),
-    }
-    parts = [_flag_count(per_user, r, c) for r, c in checks.items()]
-    unreachable = seq.where(F.col("pos") == F.col("n")).select("item_id").join(candidates.select("item_id"), "item_id", "left_anti")
-    parts.append(_count(unreachable, "sequence.unreachable_target"))
-    return reduce(DataFrame.unionByName, parts)
+    user, value = F.col("kind") == "user", F.col("value")
+    gap = (F.col("pmin") != 1) | (F.col("pmax") != F.col("nmax")) | (F.col("dpos") != F.col("rows"))
+    gap = gap | (F.col("rows") != F.col("nmax")) | (F.col("nmin") != F.col("nmax"))
+    return _totals(
+        per,
+        {
+            "sequence.missing_user_id": F.count_if(user & (value.isNull() | (value == ""))),
+            "sequence.incomplete_split": F.count_if(user & (F.col("nmax") < 2)),
+            "sequence.position_gap": F.count_if(user & gap),
+            "sequence.unreachable_target": F.sum(F.when(~user & (F.col("known") == 0), F.col("rows"))),
+        },
+    )
 
 
 def recommendation_violations(recs: DataFrame, users: DataFrame, histories: DataFrame, candidates: DataFrame, top_k: int) -> DataFrame:
     """Users equal both ways, no duplicates, all in candidates, none in
     history, list length = min(k, |candidates - history|) (history items
-    outside the candidates do not lower the eligible count)."""
-    ru = recs.select("user_id").distinct()
-    eu = users.select("user_id").distinct()
-    missing = eu.join(ru, "user_id", "left_anti")
-    extra = ru.join(eu, "user_id", "left_anti")
-    dups = recs.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    outside = recs.join(candidates.select("item_id"), "item_id", "left_anti")
-    hist = histories.select("user_id", "item_id").distinct()
-    leaked = recs.join(hist, ["user_id", "item_id"], "left_semi")
-    n_cand = candidates.agg(F.countDistinct("item_id").alias("nc"))
-    hist_in = hist.join(candidates.select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("nh"))
-    got = recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("got"))
-    counts = eu.join(hist_in, "user_id", "left").join(got, "user_id", "left")
-    counts = with_scalars(counts, n_cand)
-    wrong = counts.where(
-        F.coalesce("got", F.lit(0)) != F.least(F.lit(top_k), F.col("nc") - F.coalesce("nh", F.lit(0)))
+    outside the candidates do not lower the eligible count).
+
+    Recommended and seen rows are summed by (user, item), looked up once among the
+    candidates and summed by user; NULL ids equal no other id."""
+    rec, seen = F.col("rec"), F.col("seen")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    pairs = (
+        recs.select("user_id", "item_id", one.alias("rec"), none.alias("seen"))
+        .unionByName(histories.select("user_id", "item_id", none.alias("rec"), one.alias("seen")))
+        .groupBy("user_id", "item_id")
+        .agg(F.sum("rec").alias("rec"), F.max("seen").alias("seen"))
+    )
+    ids = candidates.select("item_id").distinct()
+    inside = F.coalesce(F.col("inside"), F.lit(False))
+    named = F.col("user_id").isNotNull()
+    per_user = (
+        pairs.join(ids.withColumn("inside", F.lit(True)), "item_id", "left")
+        .groupBy("user_id")
+        .agg(
+            F.sum("rec").alias("got"),
+            F.count_if(rec > 1).alias("repeated"),
+            F.sum(F.when(~inside, rec).otherwise(0)).alias("outside"),
+            F.sum(F.when(named & F.col("item_id").isNotNull() & (seen == 1), rec).otherwise(0)).alias("leaked"),
+            F.count_if(named & inside & (seen == 1)).alias("nh"),
+        )
+        .withColumn("asked", F.lit(0))
+        .unionByName(users.select("user_id", F.lit(1).alias("asked")), allowMissingColumns=True)
+        .groupBy("user_id")
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("got", "repeated", "outside", "leaked", "nh")], F.max("asked").alias("asked"))
     )
-    return reduce(
-        DataFrame.unionByName,
-        [
-            _count(missing, "recs.missing_user"),
-            _count(extra, "recs.extra_user"),
-            _count(dups, "recs.duplicate_item"),
-            _count(outside, "recs.outside_candidates"),
-            _count(leaked, "recs.history_leak"),
-            _count(wrong, "recs.count_mismatch"),
-        ],
+    counts = with_scalars(per_user, ids.agg(F.count("item_id").alias("nc")))
+    asked, got = F.col("asked") == 1, F.when(named, F.col("got")).otherwise(0)
+    return _totals(
+        counts,
+        {
+            "recs.missing_user": F.count_if(asked & (got == 0)),
+            "recs.extra_user": F.count_if((F.col("got") > 0) & (~asked | ~named)),
+            "recs.duplicate_item": F.sum("repeated"),
+            "recs.outside_candidates": F.sum("outside"),
+            "recs.history_leak": F.sum("leaked"),
+            "recs.count_mismatch": F.count_if(asked & (got != F.least(F.lit(top_k), F.col("nc") - F.col("nh")))),
+        },
     )
 
 

@@ -169,6 +169,21 @@ UNION ALL SELECT 'itemcf', segment, metric, value FROM ({ORACLE["eval_itemcf"]})
 SELECT (SELECT count(*) FROM wm) AS interactions, (SELECT count(DISTINCT user_id) FROM seq) AS sequences, (SELECT count(*) FROM cands) AS candidates,
        (SELECT count(DISTINCT p_partkey) FROM part) AS items, (SELECT count(DISTINCT c_custkey) FROM customer) AS users""",
     "broken_data_violations": with_(BROKEN) + "SELECT rule, CAST(violations AS BIGINT) AS violations FROM checks WHERE violations > 0",
+    "observed_violations": with_(BROKEN) + """SELECT rule, CAST(violations AS BIGINT) AS violations FROM checks
+WHERE rule IN ('items.invalid_publish_time', 'items.invalid_quality_score', 'items.quality_out_of_range',
+               'interactions.invalid_event_time', 'interactions.invalid_dwell_time', 'interactions.negative_dwell_time')""",
+    "violators": with_(BROKEN) + """
+SELECT 'items.duplicate_item_id' AS rule, item_id AS key, '2' AS detail FROM bitems WHERE copies > 1
+UNION ALL SELECT 'items.invalid_publish_time', p_name, p_name FROM part WHERE p_size = 7
+UNION ALL SELECT 'items.invalid_quality_score', p_brand, p_brand FROM part WHERE p_size = 11
+UNION ALL SELECT 'items.quality_out_of_range', item_id, '1.5' FROM bitems WHERE p_size = 13
+UNION ALL SELECT 'users.duplicate_user_id', CAST(c_custkey AS VARCHAR), '2' FROM customer WHERE c_nationkey = 3
+UNION ALL SELECT DISTINCT 'interactions.invalid_event_type', event_type, event_type FROM bev WHERE event_type NOT IN ('click', 'like', 'collect', 'skip')
+UNION ALL SELECT 'interactions.invalid_event_time', props, props FROM events WHERE event_type = 'view'
+UNION ALL SELECT 'interactions.invalid_dwell_time', event_type, event_type FROM bev WHERE event_type = 'click'
+UNION ALL SELECT 'interactions.negative_dwell_time', user_id, CAST(CAST(dwell AS DECIMAL(18, 6)) AS VARCHAR) FROM bev WHERE dwell < 0
+UNION ALL SELECT DISTINCT 'interactions.unknown_item', item_id, item_id FROM bev WHERE item_id NOT IN (SELECT item_id FROM bitems)
+UNION ALL SELECT DISTINCT 'interactions.unknown_user', user_id, user_id FROM bev WHERE user_id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""",
     "broken_protocol_violations": with_(WATCH, BROKEN_ROWS) + "SELECT rule, CAST(violations AS BIGINT) AS violations FROM checks",
     "vector_violations": """
 WITH dims AS (SELECT CASE WHEN label = 0 THEN 3 ELSE len(embedding) END AS dim, count(*) AS cnt FROM embeddings GROUP BY 1)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rectide.operators import generative, protocol, quality, semantic_id, sequences
+from rectide.operators.rules import observed, observed_counts, rule_report, violating_rows
 from rectide.plans import batch, evaluate
 from rectide.plans.prepare import content_bundle, run_counters, watch_bundle, watch_items
 from rectide.session import ensure_checkpoint_dir
@@ -26,10 +27,6 @@ def _folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
 
 
-def _counts(violations: DataFrame) -> DataFrame:
-    return violations.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
-
-
 # ---- sources and sinks ----------------------------------------------------------
 
 def q_csv_bundle(spark, sf):
@@ -163,8 +160,8 @@ def q_run_counters(spark, sf):
 
 # ---- checks that find something --------------------------------------------------
 
-def q_broken_data_violations(spark, sf):
-    """V2-V9 over items, users and interactions that break every rule."""
+def _broken_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, users and interactions that break every rule."""
     part = testdata.table(spark, sf, "part")
     size = F.col("p_size")
     items = part.select(
@@ -183,14 +180,36 @@ def q_broken_data_violations(spark, sf):
         F.when(F.col("event_type") == "view", F.col("props")).otherwise("1998-01-01 00:00:00").alias("event_time"),
         F.when(F.col("event_type") == "click", F.col("event_type")).otherwise((F.col("value") - 20).cast("string")).alias("dwell_time"),
     )
-    return _counts(
-        quality.union_violations([
-            quality.validate_items(items),
-            quality.validate_users(users),
-            quality.row_contract_violations(items, events),
-            quality.referential_violations(events, items, users),
-        ])
-    )
+    return items, users, events
+
+
+def q_broken_data_violations(spark, sf):
+    """V2-V9 over items, users and interactions that break every rule: one scan a table."""
+    items, users, events = _broken_tables(spark, sf)
+    return rule_report(quality.data_checks(items, users, events, contracts=True)).where("violations > 0")
+
+
+def q_observed_violations(spark, sf):
+    """V3, V4, V7, V8 counted by the write of the interactions and of the items itself, no scan of their own."""
+    items, _, events = _broken_tables(spark, sf)
+    root, counts = _folder(spark), {}
+    for name, df, rules in (
+        ("items", items, [*quality.item_rules(items), quality.quality_range_rule()]),
+        ("interactions", events, quality.interaction_rules(events)),
+    ):
+        watched, observation = observed(df, rules)
+        files.write_table(watched, f"{root}/{name}.parquet")
+        counts |= observed_counts(observation, rules)
+    return spark.createDataFrame(list(counts.items()), "rule string, violations long")  # a row a rule
+
+
+def q_violators(spark, sf):
+    """V2-V9 on demand: keys and details of what breaks a rule."""
+    items, users, events = _broken_tables(spark, sf)
+    found = violating_rows(quality.data_checks(items, users, events, contracts=True))
+    # a number as decimal text
+    negative = F.col("rule") == "interactions.negative_dwell_time"
+    return found.select("rule", "key", F.when(negative, F.col("detail").try_cast("decimal(18,6)").cast("string")).otherwise(F.col("detail")).alias("detail"))
 
 
 def q_broken_protocol_violations(spark, sf):
@@ -307,6 +326,8 @@ JOBS = {
     "content_evaluation_store": q_content_evaluation_store,
     "run_counters": q_run_counters,
     "broken_data_violations": q_broken_data_violations,
+    "observed_violations": q_observed_violations,
+    "violators": q_violators,
     "broken_protocol_violations": q_broken_protocol_violations,
     "vector_violations": q_vector_violations,
     "request_violations": q_request_violations,

@@ -156,7 +156,7 @@ def prepare_watch_dataset(
 
 def prepare_content_dataset(spark: SparkSession, data_dir: str, out_dir: str) -> DataFrame:
     """M15 (content path): validated items/users/interactions -> sequences."""
-    from rectide.operators.quality import assert_valid, validate_interactions, validate_items, validate_users
+    from rectide.operators.quality import interaction_rules, item_rules, require_clean, user_rules
     from rectide.operators.sequences import sequence_rows
     from rectide.sources import files
 
@@ -164,8 +164,7 @@ def prepare_content_dataset(spark: SparkSession, data_dir: str, out_dir: str) ->
     items = files.read_csv(spark, f"{root}/items.csv")
     users = files.read_csv(spark, f"{root}/users.csv")
     inter = files.read_csv(spark, f"{root}/interactions.csv")
-    for check in (validate_items(items), validate_users(users), validate_interactions(inter)):
-        assert_valid(check)
+    require_clean([(items, item_rules(items)), (users, user_rules(users)), (inter, interaction_rules(inter))])
     inter = inter.withColumn("event_time", F.try_to_timestamp("event_time"))
     seq = cut_lineage(build_content_sequences(inter))
     out = out_dir.rstrip("/")

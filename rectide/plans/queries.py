@@ -27,6 +27,7 @@ from rectide.operators import (
     vector,
 )
 from rectide.operators.ordering import global_rank
+from rectide.operators.rules import rule_report
 from rectide.plans.job_queries import JOBS
 from rectide.plans.prepare import content_bundle, watch_bundle, watch_items
 from rectide.sources import testdata
@@ -432,24 +433,7 @@ def q_data_violations(spark, sf):
     items = testdata.content_items(spark, sf)
     inter = testdata.content_interactions(spark, sf).withColumn("item_id", F.col("item_id").cast("string")).withColumn("user_id", F.col("user_id").cast("string"))
     users = testdata.user_profiles(spark, sf).withColumn("user_id", F.col("user_id").cast("string"))
-    v = quality.union_violations([
-        quality.validate_items(items),
-        quality.validate_users(users),
-        quality.validate_interactions(inter),
-        quality.referential_violations(inter, items, users),
-    ])
-    counts = v.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
-    rules = spark.createDataFrame([(r,) for r in DATA_RULES], "rule string")
-    return rules.join(counts, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
-
-
-# The data-contract rules reported by ``data_violations``.
-DATA_RULES = [
-    "items.duplicate_item_id", "items.invalid_publish_time", "items.invalid_quality_score",
-    "users.duplicate_user_id", "interactions.invalid_event_type", "interactions.invalid_event_time",
-    "interactions.invalid_dwell_time", "interactions.negative_dwell_time",
-    "interactions.unknown_item", "interactions.unknown_user",
-]
+    return rule_report(quality.data_checks(items, users, inter))
 
 
 REGISTRY: dict[str, Query] = {
