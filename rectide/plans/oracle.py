@@ -617,7 +617,7 @@ checks AS (
   UNION ALL SELECT 'manifest.target_field', 0
   UNION ALL SELECT 'sequence.missing_user_id', (SELECT count(*) FROM useq WHERE coalesce(user_id, '') = '')
   UNION ALL SELECT 'sequence.incomplete_split', (SELECT count(*) FROM useq WHERE n < 2)
-  UNION ALL SELECT 'sequence.position_gap', (SELECT count(*) FROM pstat WHERE pmin <> 1 OR pmax <> nmax OR dpos <> nrows OR nmin <> nmax)
+  UNION ALL SELECT 'sequence.position_gap', (SELECT count(*) FROM pstat WHERE pmin <> 1 OR pmax <> nmax OR dpos <> nrows OR nrows <> nmax OR nmin <> nmax)
   UNION ALL SELECT 'sequence.unreachable_target', (SELECT count(*) FROM tgt WHERE test_item_id NOT IN (SELECT item_id FROM cands))
 )""") + "SELECT rule, CAST(violations AS BIGINT) AS violations FROM checks",
     "recommendation_violations": with_(WATCH, POP, """
