@@ -139,7 +139,74 @@ chosen AS (
 )
 """
 
+
+def lloyd(tag: str, level: int, points: str, rounds: int = 3, starts: int = 3, k: int = 8, seed: int = 42) -> str:
+    """Seeds of least md5, ``rounds`` Lloyd rounds over ``points(item_id, d, x)``, and ``{tag}book(code, d, c)`` of the best start."""
+    text = f"""
+{tag}seed AS (
+  SELECT s.start, item_id, ROW_NUMBER() OVER (PARTITION BY s.start ORDER BY md5('{seed}:{level}:' || s.start || ':' || item_id), item_id) - 1 AS code
+  FROM vec CROSS JOIN (SELECT unnest(range({starts})) AS start) s
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY s.start ORDER BY md5('{seed}:{level}:' || s.start || ':' || item_id), item_id) <= {k}
+),
+{tag}c0 AS MATERIALIZED (SELECT s.start, s.code, p.d, p.x AS c FROM {tag}seed s JOIN {points} p USING (item_id)),"""
+    for r in range(rounds + 1):
+        text += f"""
+{tag}n{r} AS MATERIALIZED (
+  SELECT p.item_id, c.start, c.code, sum((p.x - c.c) * (p.x - c.c)) AS d2 FROM {points} p JOIN {tag}c{r} c USING (d)
+  GROUP BY p.item_id, c.start, c.code
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY p.item_id, c.start ORDER BY d2, c.code) = 1
+),"""
+        if r < rounds:
+            text += f"""
+{tag}m{r} AS (SELECT n.start, n.code, p.d, avg(p.x) AS c FROM {tag}n{r} n JOIN {points} p USING (item_id) GROUP BY n.start, n.code, p.d),
+{tag}c{r + 1} AS MATERIALIZED (SELECT c.start, c.code, c.d, coalesce(m.c, c.c) AS c FROM {tag}c{r} c LEFT JOIN {tag}m{r} m USING (start, code, d)),"""
+    return text + f"""
+{tag}best AS (SELECT start FROM {tag}n{rounds} GROUP BY start ORDER BY round(sum(d2), 6), start LIMIT 1),
+{tag}code AS MATERIALIZED (SELECT item_id, code, d2 FROM {tag}n{rounds} WHERE start = (SELECT start FROM {tag}best)),
+{tag}book AS MATERIALIZED (SELECT code, d, c FROM {tag}c{rounds} WHERE start = (SELECT start FROM {tag}best))"""
+
+
+INDEPENDENT = (VEC, lloyd("a", 0, "vexp"), lloyd("b", 1, "vexp"), """
+coded AS (SELECT a.item_id, a.code || '-' || b.code AS sid, a.d2 + b.d2 AS error FROM acode a JOIN bcode b USING (item_id))""")
+RESIDUAL = (VEC, lloyd("a", 0, "vexp"), """
+rest AS MATERIALIZED (
+  SELECT v.item_id, v.d, v.x - b.c AS x FROM vexp v JOIN acode a USING (item_id) JOIN abook b ON b.code = a.code AND b.d = v.d
+)""", lloyd("b", 1, "rest"))
+GREEDY_CODES = "coded AS (SELECT a.item_id, a.code || '-' || b.code AS sid, b.d2 AS error FROM acode a JOIN bcode b USING (item_id))"
+# the four nearest codes of the first level, each with its nearest of the second
+BEAM_CODES = """
+firsts AS MATERIALIZED (
+  SELECT v.item_id, b.code, sum((v.x - b.c) * (v.x - b.c)) AS d2 FROM vexp v JOIN abook b USING (d) GROUP BY v.item_id, b.code
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY v.item_id ORDER BY d2, b.code) <= 4
+),
+pathrest AS MATERIALIZED (
+  SELECT f.item_id, f.code AS a, f.d2 AS a2, v.d, v.x - b.c AS x FROM firsts f JOIN vexp v USING (item_id) JOIN abook b ON b.code = f.code AND b.d = v.d
+),
+coded AS MATERIALIZED (
+  SELECT p.item_id, p.a || '-' || b.code AS sid, sum((p.x - b.c) * (p.x - b.c)) AS error
+  FROM pathrest p JOIN bbook b USING (d) GROUP BY p.item_id, p.a, p.a2, b.code
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY p.item_id ORDER BY error, p.a2, p.a, b.code) = 1
+)"""
+CODES_OUT = """
+SELECT c.item_id, CAST(e.label AS VARCHAR) AS topic, c.sid AS semantic_id_str, round(c.error, 6) AS error
+FROM coded c JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = c.item_id"""
+
+
+def figures(method: str, *fragments: str) -> str:
+    return with_(*fragments, """
+bytopic AS (SELECT c.sid, e.label, count(*) AS n FROM coded c JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = c.item_id GROUP BY 1, 2),
+tops AS (SELECT sid, max(n) AS top FROM bytopic GROUP BY sid),
+q AS (SELECT (SELECT count(*) FROM coded) AS n, (SELECT avg(error) FROM coded) AS err, count(*) AS u, sum(top) AS top FROM tops)""") + f"""
+SELECT '{method}' AS method, unnest(['item_count', 'semantic_id_unique', 'collision_rate', 'topic_purity', 'mean_error']) AS metric,
+       round(unnest([n::DOUBLE, u::DOUBLE, 1.0 - u::DOUBLE / n, top::DOUBLE / n, err]), 6) AS value FROM q"""
+
+
 JOB_ORACLE: dict[str, str] = {
+    "tokenizer_kmeans": with_(*INDEPENDENT) + CODES_OUT,
+    "tokenizer_residual": with_(*RESIDUAL, GREEDY_CODES) + CODES_OUT,
+    "tokenizer_beam": with_(*RESIDUAL, BEAM_CODES) + CODES_OUT,
+    "tokenizer_quality": "SELECT * FROM (" + figures("tokenizer_kmeans", *INDEPENDENT) + ") UNION ALL SELECT * FROM ("
+    + figures("tokenizer_residual", *RESIDUAL, BEAM_CODES) + ")",
     "tfidf_weights_all": with_(TFIDF.replace("ORDER BY count(*) DESC, term LIMIT 2048", "")) + """
 SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""",
     "tfidf_weights": with_(TFIDF) + """

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rectide.operators import generative, protocol, quality, semantic_id, sequences
 from rectide.operators.rules import observed, observed_counts, rule_report, violating_rows
-from rectide.plans import batch, evaluate
+from rectide.plans import batch, evaluate, tokenizer
 from rectide.plans.prepare import content_bundle, run_counters, watch_bundle, watch_items
 from rectide.session import ensure_checkpoint_dir
 from rectide.sources import files, testdata
@@ -251,6 +251,45 @@ def q_vector_violations(spark, sf):
     return quality.missing_vectors(parts, vecs).unionByName(quality.vector_shape_violations(ragged))
 
 
+# ---- tokenizers on item vectors ----------------------------------------------------
+
+def _tokenizer(spark, sf, method, beam) -> str:
+    """The folder of a tokenizer fitted on the item vectors, written twice."""
+    root, vectors = _folder(spark), testdata.item_vectors(spark, sf)
+    for day in (1, 2):
+        tokenizer.train_tokenizer(spark, vectors, root, method, (8, 8), 3, 3, 42, beam, run_ts=dt.datetime(2026, 2, day))
+    return root
+
+
+def _codes(mapping):
+    return mapping.select("item_id", "topic", "semantic_id_str", F.round("error", 6).alias("error"))
+
+
+def _figures(spark, root):
+    stored = _stored(spark, f"{root}/metrics")
+    return stored.select(F.col("method").cast("string").alias("method"), "metric", "value")
+
+
+def q_tokenizer_kmeans(spark, sf):
+    """M2, M5: levels fitted independently, three starts and three rounds; the mapping as written."""
+    return _codes(spark.read.parquet(f"{_tokenizer(spark, sf, 'kmeans', 1)}/mapping"))
+
+
+def q_tokenizer_residual(spark, sf):
+    """M3, M4, M5: residual levels, nearest code at each; the vectors encoded again by the saved codebooks."""
+    return _codes(tokenizer.encode_items(spark, testdata.item_vectors(spark, sf), _tokenizer(spark, sf, "residual", 1), 1))
+
+
+def q_tokenizer_beam(spark, sf):
+    """M3, M4: the same codebooks, four residual paths kept."""
+    return _codes(spark.read.parquet(f"{_tokenizer(spark, sf, 'residual', 4)}/mapping"))
+
+
+def q_tokenizer_quality(spark, sf):
+    """The stored figures of both tokenizers."""
+    return _figures(spark, _tokenizer(spark, sf, "kmeans", 1)).unionByName(_figures(spark, _tokenizer(spark, sf, "residual", 4)))
+
+
 # ---- batch services ---------------------------------------------------------------
 
 def _requests(spark, sf, item) -> DataFrame:
@@ -334,4 +373,8 @@ JOBS = {
     "batch_vector": q_batch_vector,
     "batch_generative": q_batch_generative,
     "item_factors": q_item_factors,
+    "tokenizer_kmeans": q_tokenizer_kmeans,
+    "tokenizer_residual": q_tokenizer_residual,
+    "tokenizer_beam": q_tokenizer_beam,
+    "tokenizer_quality": q_tokenizer_quality,
 }
