@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rectide.operators.quality import ValidationError
@@ -74,14 +74,23 @@ def _vectors(points: DataFrame) -> DataFrame:
 
 
 def _seeds(vectors: DataFrame, heads: list[tuple[int, int, int]], seed: int) -> list[np.ndarray]:
-    """For each head (level, start, k) the vectors of the k items of least md5, in this order."""
-    out = []
-    for level, start, k in heads:
-        key = F.md5(F.concat(F.lit(f"{seed}:{level}:{start}:"), "item_id").cast("binary"))
-        # k rows, bounded by the size check of the codebooks
-        rows = vectors.select(key.alias("key"), "item_id", "vector").orderBy("key", "item_id").limit(k).collect()
-        out.append(np.array([r["vector"] for r in rows], dtype=np.float64))
-    return out
+    """For each head (level, start, k) the vectors of the k items of least md5, in this order: one scan for all heads."""
+    keys = [
+        F.struct(F.lit(i).alias("head"), F.md5(F.concat(F.lit(f"{seed}:{level}:{start}:"), "item_id").cast("binary")).alias("key"))
+        for i, (level, start, _) in enumerate(heads)
+    ]
+    by_key = Window.partitionBy("head").orderBy("key", "item_id", "vector")
+    # the tasks keep the least rows of a head before the shuffle; what is collected is bounded by the size check of the codebooks
+    least = (
+        vectors.select("item_id", "vector", F.explode(F.array(*keys)).alias("h"))
+        .select("item_id", "vector", "h.head", "h.key")
+        .withColumn("place", F.row_number().over(by_key))
+        .where(F.col("place") <= max(k for _, _, k in heads))
+        .select("head", "place", "vector")
+        .collect()
+    )
+    held = [sorted((r["place"], r["vector"]) for r in least if r["head"] == i and r["place"] <= k) for i, (_, _, k) in enumerate(heads)]
+    return [np.array([vector for _, vector in rows], dtype=np.float64) for rows in held]
 
 
 def _lloyd_round(vectors: DataFrame, heads: list[np.ndarray], books: list[np.ndarray]):
