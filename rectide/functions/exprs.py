@@ -82,7 +82,8 @@ def activity_bucket(count: Column | str) -> Column:
 def has_text(value: Column | str) -> Column:
     """Not NULL/NaN, not blank, not the text 'nan' in any case."""
     value = F.col(value) if isinstance(value, str) else value
-    text = F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")  # all white space, not spaces alone
+    # all white space of any script, and the four separator controls
+    text = F.regexp_replace(value.cast("string"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     return (
         value.isNotNull()
         & (text != F.lit(""))

@@ -202,6 +202,23 @@ SELECT '{method}' AS method, unnest(['item_count', 'semantic_id_unique', 'collis
 
 
 JOB_ORACLE: dict[str, str] = {
+    "unseen_interactions": """
+WITH e AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, event_type FROM events)
+SELECT CAST(event_id AS BIGINT) AS row_ix, CAST(user_id AS BIGINT) AS user_id, item_id,
+       CASE event_type WHEN 'view' THEN 'click' WHEN 'click' THEN 'like' WHEN 'purchase' THEN 'collect' ELSE 'skip' END AS event_type
+FROM e WHERE NOT EXISTS (SELECT 1 FROM e p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.item_id = e.item_id)""",
+    "first_tokens": """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(regexp_extract(text, '[^|\\s\\x0b]+'), '') AS token,
+       coalesce(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) <> '' AND lower(trim(text)) <> 'nan', false) AS has_text
+FROM documents""",
+    "sampled_log": """
+WITH w AS (
+  SELECT l_orderkey * 8 + l_linenumber AS row_ix, o_custkey AS user_id, l_partkey AS video_id
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+),
+u AS (SELECT user_id FROM w GROUP BY user_id ORDER BY min(row_ix) LIMIT 100)
+SELECT CAST(row_ix AS BIGINT) AS row_ix, CAST(user_id AS BIGINT) AS user_id, CAST(video_id AS BIGINT) AS video_id
+FROM w WHERE user_id IN (SELECT user_id FROM u) ORDER BY row_ix LIMIT 1000""",
     "tokenizer_kmeans": with_(*INDEPENDENT) + CODES_OUT,
     "tokenizer_residual": with_(*RESIDUAL, GREEDY_CODES) + CODES_OUT,
     "tokenizer_beam": with_(*RESIDUAL, BEAM_CODES) + CODES_OUT,

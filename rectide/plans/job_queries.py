@@ -14,7 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rectide.operators import generative, protocol, quality, semantic_id, sequences
+from rectide.functions.exprs import first_token, has_text
+from rectide.operators import behaviors, generative, protocol, quality, rerank, semantic_id, sequences
 from rectide.operators.rules import observed, observed_counts, rule_report, violating_rows
 from rectide.plans import batch, evaluate, tokenizer
 from rectide.plans.prepare import content_bundle, run_counters, watch_bundle, watch_items
@@ -251,6 +252,28 @@ def q_vector_violations(spark, sf):
     return quality.missing_vectors(parts, vecs).unionByName(quality.vector_shape_violations(ragged))
 
 
+# ---- small operators on their own ------------------------------------------------
+
+def q_unseen_interactions(spark, sf):
+    """Interactions with items that the user has not collected."""
+    log = testdata.content_interactions(spark, sf)
+    kept = rerank.filter_seen(log, log.where("event_type = 'collect'"))
+    return kept.select(F.col("row_ix").cast("long").alias("row_ix"), F.col("user_id").cast("long").alias("user_id"), "item_id", "event_type")
+
+
+def q_first_tokens(spark, sf):
+    """The first token of every text, and whether it has any text."""
+    docs = testdata.table(spark, sf, "documents")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), first_token("text").alias("token"), F.coalesce(has_text("text"), F.lit(False)).alias("has_text"))
+
+
+def q_sampled_log(spark, sf):
+    """The first 100 users of the watch log and their first 1,000 rows (a sampling operator)."""
+    log = testdata.watch_matrix(spark, sf)
+    kept = behaviors.sample_first_rows(behaviors.sample_first_users(log, 100), 1000)
+    return kept.select(F.col("row_ix").cast("long").alias("row_ix"), F.col("user_id").cast("long").alias("user_id"), F.col("video_id").cast("long").alias("video_id"))
+
+
 # ---- tokenizers on item vectors ----------------------------------------------------
 
 def _tokenizer(spark, sf, method, beam, days=(1,)) -> str:
@@ -373,6 +396,9 @@ JOBS = {
     "batch_vector": q_batch_vector,
     "batch_generative": q_batch_generative,
     "item_factors": q_item_factors,
+    "unseen_interactions": q_unseen_interactions,
+    "first_tokens": q_first_tokens,
+    "sampled_log": q_sampled_log,
     "tokenizer_kmeans": q_tokenizer_kmeans,
     "tokenizer_residual": q_tokenizer_residual,
     "tokenizer_beam": q_tokenizer_beam,

@@ -117,3 +117,11 @@ def test_recommendations_against_brute_force(spark):
             "recs.history_leak": sum(1 for r in recs if r in hist),
             "recs.count_mismatch": sum(1 for u in users if sum(1 for v, _ in recs if v == u) != min(2, eligible[u])),
         }
+
+
+def test_white_space_of_any_script_is_no_text(spark):
+    from rectide.functions.exprs import has_text
+
+    values = [" ", " \t", "\x1c", " nan ", " a", "x y", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    assert [r.t for r in df.orderBy("i").select(has_text("v").alias("t")).collect()] == [False, False, False, False, True, True, False, False]
