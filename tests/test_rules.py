@@ -122,6 +122,6 @@ def test_recommendations_against_brute_force(spark):
 def test_white_space_of_any_script_is_no_text(spark):
     from rectide.functions.exprs import has_text
 
-    values = [" ", " \t", "\x1c", " nan ", " a", "x y", "", None]
+    values = ["\u00a0", "\u2028 \t", "\x1c", "\u3000nan ", "\u00a0a", "x y", "", None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     assert [r.t for r in df.orderBy("i").select(has_text("v").alias("t")).collect()] == [False, False, False, False, True, True, False, False]
