@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rectide.operators.quality import ValidationError
-from rectide.session import cut_lineage
+from rectide.session import stored
 
 CODEBOOK_SCHEMA = "level int, code int, residual boolean, centre array<double>"
 # doubles that a task holds as centres, and distances that it holds at a time
@@ -159,7 +159,7 @@ def fit_codebooks(
     """Codebook table (level, code, residual, centre) of (item_id, vector); ``sizes`` has the codes of each level."""
     if not sizes or min(sizes) < 1 or starts < 1 or rounds < 0:
         raise ValueError("sizes, starts and rounds must be positive")
-    vectors = cut_lineage(_vectors(points))
+    vectors = stored(_vectors(points))
     first = vectors.first()
     if first is None:
         raise ValidationError("vectors must not be empty")
