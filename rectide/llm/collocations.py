@@ -36,9 +36,8 @@ def _batches(batches):
         texts = held.pop(lang)
         size.pop(lang)
         table = word_table(texts, _CLASS, lower=True)
-        buf = np.frombuffer(table.raw, np.uint8)
-        ends = np.concatenate([[0], np.cumsum(_BREAK[buf])])
-        piece = ends[table.starts] + np.repeat(np.arange(len(texts)), table.counts)  # a new text is a new piece
+        breaks = np.flatnonzero(_BREAK[np.frombuffer(table.raw, np.uint8)])  # fewer than the bytes by far
+        piece = np.searchsorted(breaks, table.starts) + np.repeat(np.arange(len(texts)), table.counts)  # a new text is a new piece
         return lang, table, piece
 
     for batch in batches:
@@ -167,7 +166,8 @@ def _coded(frequent: DataFrame, dictionary) -> DataFrame:
 
 def _paths(codes: np.ndarray, piece: np.ndarray, depth: int) -> np.ndarray:
     """The suffix at each word, cut at ``depth`` words, the end of its piece and words of code 0."""
-    out = np.zeros((len(codes), depth), dtype=np.uint64)
+    # four bytes a word where the codes fit, as those of a complete dictionary do
+    out = np.zeros((len(codes), depth), dtype=np.uint32 if int(codes.max(initial=0)) < 1 << 32 else np.uint64)
     alive = codes > 0
     out[:, 0] = codes
     for k in range(1, depth):
@@ -185,9 +185,10 @@ def _sorted(paths: np.ndarray) -> np.ndarray:
     each = max(1, 63 // width)
     keys = []
     for begin in range(0, paths.shape[1], each):
-        key = paths[:, begin]
+        key = paths[:, begin].astype(np.uint64)
         for k in range(begin + 1, min(begin + each, paths.shape[1])):
-            key = (key << np.uint64(width)) | paths[:, k]
+            key <<= np.uint64(width)
+            key |= paths[:, k]
         keys.append(key)
     return np.lexsort(keys[::-1])
 
@@ -195,12 +196,16 @@ def _sorted(paths: np.ndarray) -> np.ndarray:
 def _collapse(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows in order and how often each occurs."""
     paths = paths[_sorted(paths)]
-    new = np.flatnonzero(np.concatenate([[True], (paths[1:] != paths[:-1]).any(axis=1)]))
+    differs = np.ones(len(paths), dtype=bool)
+    differs[1:] = paths[1:, 0] != paths[:-1, 0]
+    for k in range(1, paths.shape[1]):
+        differs[1:] |= paths[1:, k] != paths[:-1, k]
+    new = np.flatnonzero(differs)
     return paths[new], np.diff(np.append(new, len(paths)))
 
 
 def _prefix_hash(paths: np.ndarray, depth: int) -> np.ndarray:
-    flat = np.ascontiguousarray(paths[:, :depth]).ravel()
+    flat = np.ascontiguousarray(paths[:, :depth], dtype=np.uint64).ravel()
     starts = np.arange(len(paths)) * depth
     return mix(span_hash(mix(flat, 9), starts, starts + depth), depth)
 
@@ -223,7 +228,7 @@ class Partition:
 
     def assign(self, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(group, length of the prefix that the group was chosen by) of each suffix."""
-        first = paths[:, 0]
+        first = paths[:, 0].astype(np.uint64)
         listed = first < _UNLISTED
         group = (mix(first, 21) % np.uint64(self.groups)).astype(np.int64)
         group[listed] = self.group[first[listed].astype(np.int64) - 1]
@@ -308,12 +313,14 @@ def phrase_counts(docs: DataFrame, dictionary, partition: Partition, depth: int,
     prefix of a group are summed.
     """
 
+    code_type = np.uint32 if dictionary.value.complete and len(dictionary.value.one) < 1 << 32 else np.uint64
+
     def send(batches):
         for lang, table, piece in _batches(batches):
-            paths = _paths(dictionary.value.codes(lang, table), piece, depth)
-            if not len(paths):
+            codes = dictionary.value.codes(lang, table)
+            if not codes.any():
                 continue
-            paths, counts = _collapse(paths)
+            paths, counts = _collapse(_paths(codes, piece, depth))  # freed there once it is sorted
             group, length = partition.assign(paths)
             order = np.argsort(group, kind="stable")
             rows = np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
@@ -326,11 +333,23 @@ def phrase_counts(docs: DataFrame, dictionary, partition: Partition, depth: int,
 
     def build(table):
         parts = [split_parts(data) for data in table.column("data").to_pylist()]
-        counts, length, *columns = [np.concatenate([unpack(p[i]) for p in parts]) for i in range(depth + 2)]
-        nodes = list(subtree_counts(np.stack(columns, axis=1), counts.astype(np.int64), length.astype(np.int64), min_count))
-        path = [row.tobytes() for rows, _ in nodes for row in rows.astype(">u8")]
-        n = np.concatenate([n for _, n in nodes])
-        return pa.table({"path": pa.array(path, pa.binary()), "n": pa.array(n, pa.int64())})
+        size = [int.from_bytes(p[0][:8], "little") for p in parts]  # ``pack`` begins with it
+        at = np.cumsum([0, *size])
+        counts, length = np.empty(at[-1], np.int64), np.empty(at[-1], np.int64)
+        paths = np.empty((at[-1], depth), code_type)  # filled in place: no second copy of a group
+        for p, a, b in zip(parts, at[:-1], at[1:]):
+            counts[a:b], length[a:b] = unpack(p[0]), unpack(p[1])
+            for k in range(depth):
+                paths[a:b, k] = unpack(p[k + 2])
+        nodes = subtree_counts(paths, counts, length, min_count)
+        del parts, paths, counts, length  # the sorted copies are enough
+        found = []
+        for rows, n in nodes:
+            width = 8 * rows.shape[1]
+            offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width))
+            path = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.astype(">u8").tobytes())])
+            found.append(pa.table({"path": path, "n": pa.array(n, pa.int64())}))
+        return pa.concat_tables(found)
 
     nodes = _slim(docs).mapInArrow(send, "grp long, data binary").groupBy("grp").applyInArrow(build, "path binary, n long")
     return nodes.groupBy("path").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)

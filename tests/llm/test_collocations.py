@@ -1,11 +1,13 @@
 """Phrase collocations against brute force."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
-from rectide.llm.collocations import Partition, _prefix_hash, collocations
+from rectide.llm.collocations import Partition, _batches, _prefix_hash, collocations
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPLIT = re.compile("[.,;:!?\x0a-\x0d]")
@@ -85,3 +87,14 @@ def test_extended_prefixes_stay_in_one_group():
         homes[tuple(row[:k])].add(g)
     assert all(len(v) == 1 for v in homes.values())
     assert np.bincount(group).max() < 5 * 200
+
+
+def test_pieces_are_numbered_without_a_number_for_each_byte():
+    text = ("w" * 200 + " ") * 20_000 + ". a b! c"
+    tracemalloc.start()
+    found = list(_batches([pa.table({"lang": ["en"], "text": [text]}).to_batches()[0]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    (_, table, piece), = found
+    assert piece.tolist() == [0] * 20_000 + [1, 1, 2] and len(table.hashes) == 20_003
+    assert peak < 20 * len(text)
