@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rectide.operators import quality
 from rectide.operators.ordering import exact_quantiles, global_rank, ordered_positions, prefix_join
+from rectide.plans.prepare import Bundle
 
 
 def test_global_rank_is_consecutive_over_many_partitions(spark):
@@ -70,3 +71,20 @@ def test_item_and_interaction_validation(spark):
     assert rules == {"interactions.invalid_event_type", "interactions.negative_dwell_time"}
     with pytest.raises(quality.ValidationError, match="missing columns"):
         quality.validate_users(spark.createDataFrame([(1,)], "id int"))
+
+
+def test_ordered_positions_of_full_slots_and_of_the_others(spark):
+    rows = [(u, t, t % 3) for u, many in (("a", 40), ("b", 2), ("c", 9), (None, 5)) for t in range(many)]
+    df = spark.createDataFrame(rows, "user_id string, t int, v int").repartition(5)
+    want = sorted((u, t, t + 1, sum(r[0] == u for r in rows), (t - 1) % 3 if t else None) for u, t, _ in rows if u)
+    for slot_rows in (0, 8, 1 << 17):  # all, some and no keys are spread
+        out = ordered_positions(df, "user_id", [F.col("t").asc()], lag_cols=["v"], slot_rows=slot_rows)
+        assert sorted((r.user_id, r.t, r.pos, r.n, r.prev_v) for r in out.collect()) == want
+        assert dict(out.dtypes)["pos"] == dict(out.dtypes)["n"] == "int"
+
+
+def test_candidates_are_ranked_for_the_first_reader_only():
+    asked = []
+    b = Bundle(None, None, None, None, None, lambda: asked.append(1) or "ranked")
+    assert not asked
+    assert b.candidates == b.candidates == "ranked" and len(asked) == 1
