@@ -22,7 +22,7 @@ DICTIONARY = 1 << 20
 #: Suffixes that one group of prefixes may hold.
 GROUP_SUFFIXES = 2 << 20
 #: Bytes of text from which one message per group is made.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 #: Codes from here on are digests of words that are not in the dictionary.
 _UNLISTED = np.uint64(1 << 62)
 

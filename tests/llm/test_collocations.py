@@ -98,3 +98,11 @@ def test_pieces_are_numbered_without_a_number_for_each_byte():
     (_, table, piece), = found
     assert piece.tolist() == [0] * 20_000 + [1, 1, 2] and len(table.hashes) == 20_003
     assert peak < 20 * len(text)
+
+
+def test_slices_of_text_are_small():
+    texts = ["ab cd, " * 20_000] * 80  # 11 MB
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 80, "text": texts})
+    tables = [table for _, table, _ in _batches([batch])]
+    assert sum(len(t.starts) for t in tables) == 80 * 40_000
+    assert max(len(t.raw) for t in tables) <= 4 << 20
