@@ -3,8 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from rectide.operators import features, ordering
+from rectide.operators import features, ordering, sequences
 from rectide.sources import testdata
 
 
@@ -50,3 +51,37 @@ def test_item_features_deal_the_days_of_items(spark, tmp_path, few_rows):
     assert (got["0"]["title"], got["0"]["topic"], got["0"]["author_id"], got["0"]["duration"]) == ("name 0", "t", "Brand#1", 5.0)
     assert got["2"]["title"] == "name 2 name 2"
     assert {r["quality_score"] for r in got.values()} == {1.0 * 4 / 21}
+
+
+def test_watch_log_and_positions_are_dealt(spark, tmp_path, few_rows):
+    log = testdata.watch_matrix(spark, _watch_tables(spark, tmp_path, 100))
+    assert _most_in_a_task(log) < 80  # 404 rows: one to eight tasks
+    rows = ordering.ordered_positions(log, "user_id", [F.col("timestamp").asc(), F.col("row_ix").asc()], slot_rows=1 << 17)
+    assert _most_in_a_task(rows) < 120
+    got = rows.collect()
+    by_user = {}
+    for r in got:
+        by_user.setdefault(r["user_id"], []).append(r)
+    assert len(got) == 404
+    for own in by_user.values():
+        own.sort(key=lambda r: (r["timestamp"], r["row_ix"]))
+        assert [r["n"] for r in own] == [len(own)] * len(own)
+        assert sorted(r["pos"] for r in own) == [*range(1, len(own) + 1)]
+
+
+def test_hot_keys_and_lists_are_dealt(spark, few_rows, monkeypatch):
+    monkeypatch.setattr(ordering, "TASK_ROWS", 20)
+    events = spark.createDataFrame([("hot" if k % 2 else f"u{k % 100}", k, f"i{k}") for k in range(1000)], "user_id string, t long, item_id string")
+    rows = ordering.ordered_positions(events, "user_id", [F.col("t").asc()], ["t"], slot_rows=100)
+    hot = sorted((r for r in rows.collect() if r["user_id"] == "hot"), key=lambda r: r["t"])
+    assert [r["pos"] for r in hot] == [*range(1, 501)] and {r["n"] for r in hot} == {500}
+    assert [r["prev_t"] for r in hot] == [None, *range(1, 999, 2)]
+    seq = rows.selectExpr(
+        "user_id", "pos", "n", "item_id", "'a' AS action", "1D AS action_weight", "1D AS event_weight", "t AS ts", "t AS delta"
+    )
+    lists = sequences.sequence_rows(seq)
+    assert _most_in_a_task(lists) < 20  # 51 users
+    back = sequences.sequences_from_rows(lists)
+    assert sorted(map(tuple, back.select("user_id", "pos", "n", "item_id").collect())) == sorted(
+        map(tuple, seq.select("user_id", "pos", "n", "item_id").collect())
+    )
