@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rectide.operators import features, ordering, sequences
+from rectide.operators import features, ordering, sequences, vector
 from rectide.sources import testdata
 
 
@@ -85,3 +85,16 @@ def test_hot_keys_and_lists_are_dealt(spark, few_rows, monkeypatch):
     assert sorted(map(tuple, back.select("user_id", "pos", "n", "item_id").collect())) == sorted(
         map(tuple, seq.select("user_id", "pos", "n", "item_id").collect())
     )
+
+
+def test_mean_vectors_sort_few_vectors_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(vector, "VECTOR_ROWS", 20)
+    counted = []
+    monkeypatch.setattr(vector, "task_count", lambda *given: counted.append(ordering.task_count(*given)) or counted[-1])
+    histories = spark.createDataFrame([(f"u{k % 7}", f"i{k % 10}") for k in range(2000)], "user_id string, item_id string")
+    vectors = spark.createDataFrame([(f"i{k}", [float(k), 1.0]) for k in range(10)], "item_id string, vector array<float>")
+    got = {r["user_id"]: r["qvec"] for r in vector.mean_vectors(histories, vectors).collect()}
+    assert counted == [100]
+    for u in range(7):
+        own = [k % 10 for k in range(2000) if k % 7 == u]
+        assert got[f"u{u}"] == pytest.approx([sum(own) / len(own), 1.0])
