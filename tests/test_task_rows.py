@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +100,21 @@ def test_mean_vectors_sort_few_vectors_in_a_task(spark, monkeypatch):
     for u in range(7):
         own = [k % 10 for k in range(2000) if k % 7 == u]
         assert got[f"u{u}"] == pytest.approx([sum(own) / len(own), 1.0])
+
+
+def test_cells_are_scored_without_a_loop_over_queries():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[200:250] = x[100:150]  # equal scores: the smaller id goes first
+    ids = [f"i{k * 7 % 300}" for k in range(300)]
+    vectors = pa.array(list(x), pa.list_(pa.float32()))
+    queries = pa.table({"user_id": ids, "qvec": vectors, "keep": pa.array([3 + k % 4 for k in range(300)], pa.int32())})
+    got = vector._score_cell(queries, pa.table({"item_id": ids, "vector": vectors})).to_pylist()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r["user_id"], []).append((round(-r["score"], 9), r["item_id"]))
+    for k, q in enumerate(ids):
+        best = sorted((round(-float(unit[k] @ unit[j]), 9), ids[j]) for j in range(300))[: 3 + k % 4]
+        assert by_query[q] == best
+    assert vector._score_cell(queries, pa.table({"item_id": ids, "vector": vectors}).slice(0, 0)).num_rows == 0
